@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality, urlfilter
+from tessera.llm import packing, quality, tokencount, urlfilter
 from tessera.session import table
 
 
@@ -21,7 +21,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op5_quality_rules)}
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_url_filter,
+        op5_quality_rules,
+        op7_best_fit_packing,
+        op8_token_counts,
+    )
+}
 
 ORACLE_SQL = {
     "op2_url_filter": r"""
