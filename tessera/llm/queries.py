@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality, tokencount, urlfilter
+from tessera.llm import packing, quality, simhash, tokencount, urlfilter
 from tessera.session import table
 
 
@@ -13,6 +13,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = quality.apply_policy(quality.ledger(docs))
@@ -33,6 +37,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_url_filter,
+        op4_simhash,
         op5_quality_rules,
         op7_best_fit_packing,
         op8_token_counts,
