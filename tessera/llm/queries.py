@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality, simhash, tokencount, urlfilter
+from tessera.llm import packing, quality, repair, simhash, tokencount, urlfilter, warc
 from tessera.session import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -25,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,15 +44,29 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc_revisits,
         op2_url_filter,
         op4_simhash,
         op5_quality_rules,
+        op6_repair_ids,
         op7_best_fit_packing,
         op8_token_counts,
     )
 }
 
 ORACLE_SQL = {
+    "op1_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages
+), b AS (
+  SELECT page_id, payload_bytes, s, max(page_id) OVER (PARTITION BY s) AS first,
+         list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(s, 5 * (j // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31)::INT, 1) FOR j IN range(32)], 'string_agg', '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+""",
     "op2_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages
