@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality, repair, simhash, tokencount, urlfilter, warc
+from tessera.llm import decontam, packing, quality, repair, simhash, tokencount, urlfilter, warc
 from tessera.session import table
 
 
@@ -17,6 +17,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,6 +52,7 @@ QUERIES = {
     for f in (
         op1_warc_revisits,
         op2_url_filter,
+        op3_decontamination,
         op4_simhash,
         op5_quality_rules,
         op6_repair_ids,
