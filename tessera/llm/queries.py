@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, packing, quality, repair, simhash, tokencount, urlfilter, warc
+from tessera.llm import decontam, packing, quality, repair, simhash, tokencount, toxicity, urlfilter, warc
 from tessera.session import table
 
 
@@ -47,6 +47,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -58,6 +64,7 @@ QUERIES = {
         op6_repair_ids,
         op7_best_fit_packing,
         op8_token_counts,
+        op10_toxicity,
     )
 }
 
