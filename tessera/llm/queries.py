@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, packing, quality, repair, simhash, tokencount, toxicity, urlfilter, warc
+from tessera.llm import decontam, licenses, packing, quality, repair, simhash, tokencount, toxicity, urlfilter, warc
 from tessera.session import table
 
 
@@ -47,6 +47,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -64,10 +68,14 @@ QUERIES = {
         op6_repair_ids,
         op7_best_fit_packing,
         op8_token_counts,
+        op9_license_scan,
         op10_toxicity,
     )
 }
 
+_KNOWN = ", ".join(sorted({f"('{k}', '{licenses.digest_of(t)}')" for k, t in licenses.KNOWN}))
+_SPELLINGS = ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS)
+
 ORACLE_SQL = {
     "op1_warc_revisits": r"""
 WITH p AS (
@@ -122,5 +130,24 @@ WITH d AS (
     + CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 16 ELSE 0 END)::BIGINT AS fail_bits FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+""",
+    "op9_license_scan": rf"""
+WITH known(license_id, digest) AS (VALUES {_KNOWN}), d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), e AS (
+  SELECT r, doc_id, unnest(range(len(l))) AS line_no, lower(unnest(l)) AS x FROM d
+), c AS (
+  SELECT r, doc_id, line_no,
+         CASE WHEN regexp_matches(x, '{licenses.COPYRIGHT_LINE}') THEN ''
+              ELSE array_to_string([coalesce(MAP {{{_SPELLINGS}}}[w], w)
+                     FOR w IN string_split(trim(regexp_replace(x, '{licenses.PUNCTUATION}', ' ', 'g'), ' '), ' ')], ' ') END AS form
+  FROM e
+), w AS (
+  SELECT doc_id, 'document' AS unit, NULL::BIGINT AS line_no,
+         sha256(coalesce(string_agg(form, ' ' ORDER BY line_no) FILTER (form <> ''), '')) AS digest FROM c GROUP BY r, doc_id
+  UNION ALL
+  SELECT doc_id, 'line', line_no, sha256(form) FROM c WHERE form <> '' AND sha256(form) IN (SELECT digest FROM known)
+)
+SELECT w.*, license_id FROM w LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest) USING (digest)
 """,
 }

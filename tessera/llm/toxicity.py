@@ -30,8 +30,8 @@ MAX_EXAMPLES = 12_000
 MAX_FEATURES = 5_000
 #: A feature occurs in this many examples at least.
 MIN_EXAMPLES = 3
-#: Chance that any feature at all is kept for nothing.
-FALSE_FEATURE = 0.05
+#: Features kept for nothing that are expected at most.
+FALSE_FEATURE = 1.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
