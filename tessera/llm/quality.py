@@ -110,7 +110,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``measure`` plus ``fail_bits`` (long): bit k is set if rule k failed."""
+    """``measure`` plus ``fail_bits`` (long): bit k is set if rule k failed.
+
+    Store the ledger (``session.written`` or a table) before filtering on it:
+    a filter on columns that are not stored is pushed below them and would
+    evaluate every rule again.
+    """
     bits = F.lit(0).cast("long")
     for k, condition in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
