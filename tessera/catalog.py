@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.queries import ORACLE_SQL, QUERIES
+from tessera.queries import functions as _functions  # noqa: F401  registers its queries
+from tessera.queries import traffic as _traffic  # noqa: F401
+
 FLAGSHIP = "hits_by_agent_month"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -1 +1 @@
-
+"""Operators: DataFrames and parameters in, DataFrames out."""
