@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from tessera.queries import ORACLE_SQL, QUERIES
 from tessera.queries import functions as _functions  # noqa: F401  registers its queries
+from tessera.queries import listings as _listings  # noqa: F401
 from tessera.queries import traffic as _traffic  # noqa: F401
 
-FLAGSHIP = "hits_by_agent_month"
+FLAGSHIP = "fit_rank"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
