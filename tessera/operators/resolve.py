@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.functions import dates, text
 from tessera.plans.components import connected_components
@@ -109,7 +110,7 @@ def known_funders(*sources: DataFrame) -> DataFrame:
     ).select("f.name", "f.url")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks ratio of two normalised titles; not symmetric."""
     for a, b in pairs:

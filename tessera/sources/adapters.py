@@ -138,6 +138,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
+def hits(events: DataFrame) -> DataFrame:
+    """``v_hit`` over any table or stream of events."""
+    return events.sparkSession.sql(_v_hit(True).replace("FROM events", "FROM {events}"), events=events)
+
+
 def previous_listings(listings: DataFrame) -> DataFrame:
     """An earlier snapshot: four fifths of the listings, some with other amounts or states."""
     return listings.where("pos % 10 < 8").withColumns(
