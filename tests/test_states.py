@@ -45,8 +45,11 @@ def test_spend_cap_with_refunds(spark):
 @pytest.fixture()
 def rocksdb(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     spark.conf.unset(key)
 
 
@@ -65,7 +68,7 @@ def test_streams_equal_their_batch_twins(spark, rocksdb, tmp_path):
     frame = spark.createDataFrame(events, schema)
     for part in range(3):  # files in the order of time
         frame.where(f"event_id >= {part * 40} AND event_id < {part * 40 + 40}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
     batch = {r.event_id: r.outcome for r in states.lifecycles(frame).collect()}
     live = {r.event_id: r.outcome for r in drain(spark, states.lifecycle_stream(stream()), tmp_path / "l", "life").collect()}
     assert live == batch
