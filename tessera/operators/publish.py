@@ -98,9 +98,9 @@ def citation_summary(answers: DataFrame) -> DataFrame:
 
 
 def shared_urls(listings: DataFrame) -> DataFrame:
-    """AGG-21: (url, ids) of urls that several rows share, ids in order."""
+    """AGG-21: (url, id, n) of the rows whose url several rows share; one row each, so a hot url fills no single one."""
     rows = listings.select("id", text.normalise_url("source_url").alias("url")).where("url <> ''")
-    return rows.groupBy("url").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("id")).alias("ids")).where("n > 1")
+    return rows.join(rows.groupBy("url").agg(F.count("*").alias("n")).where("n > 1"), "url")
 
 
 def sweep_summary(changes: DataFrame, listings: DataFrame, today: Column, first: int = 10) -> DataFrame:

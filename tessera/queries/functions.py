@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import classify, dates, text
 from tessera.queries import query
 from tessera.session import table
-from tessera.sources.adapters import REGIONS, TAGS, TODAY, view
+from tessera.sources.adapters import REGIONS, TODAY, view
 
 ZONE = "Pacific/Auckland"
 _ASOF = f"DATE '{TODAY}'"
@@ -262,6 +262,3 @@ def expired_text(spark, sf_dir):
     """CLS-12."""
     said = F.expr("CASE WHEN pos % 7 = 0 THEN 'Now closed for applications' ELSE summary END")
     return view(spark, sf_dir, "v_opp").select("pos", classify.expired(said, "deadline", today(), ("now closed", "has closed")).alias("expired"))
-
-
-TAG_LIST = TAGS

@@ -213,7 +213,7 @@ def citation_summary(spark, sf_dir):
 
 @query(r"""WITH u AS (SELECT id, regexp_replace(lower(regexp_extract(source_url, '^[a-z]+://([^/?#:]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(source_url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
  || CASE WHEN source_url LIKE '%?%' THEN '?' || regexp_extract(source_url, '\?([^#]*)', 1) ELSE '' END AS url FROM v_opp)
-SELECT url, count(*) AS n, list_sort(list_distinct(list(id))) AS ids FROM u GROUP BY 1 HAVING count(*) > 1""")
+SELECT url, id, n FROM (SELECT *, count(*) OVER (PARTITION BY url) AS n FROM u) WHERE n > 1""")
 def shared_urls(spark, sf_dir):
     """AGG-21."""
     return publish.shared_urls(_opp(spark, sf_dir))

@@ -206,6 +206,14 @@ def test_ranking_does_not_depend_on_input_order(spark):
     assert rows == b
 
 
+def test_profiles_in_blocks_score_the_same(spark, monkeypatch):
+    from tessera.queries.listings import _fit
+
+    whole = sorted(map(tuple, _fit(spark, "/root/testdata/sf0.001", 3).select("profile_id", "id", "score", "rank").collect()))
+    monkeypatch.setattr(ranking, "PROFILE_BLOCK", 40)
+    assert sorted(map(tuple, _fit(spark, "/root/testdata/sf0.001", 3).select("profile_id", "id", "score", "rank").collect())) == whole
+
+
 def test_clusters_replay_the_ordered_unions(spark):
     import random
 
