@@ -28,7 +28,6 @@ from tessera.session import written
 SEED = 42
 SHINGLE_WORDS = 3
 BITS = 2
-SEGMENT_BITS = 32
 #: Fingerprints under one signature that are paired; where more share one, the neighbour index links them.
 MAX_PAIRED = 16
 
