@@ -28,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 MIN_PAYLOAD_BYTES = 0
 #: An archive is closed once it holds this much; each file is read by one task.
 ARCHIVE_BYTES = 32_000_000
+#: Tasks that archives are dealt to for reading, at most.
+READ_TASKS = 20_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -218,7 +220,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     revisit), refers_to (page_id of the response, null for one), html (null
     for a revisit or without ``with_payload``).
     """
-    return manifest.repartition("archive").mapInArrow(_read(with_payload), _READ)
+    # a stated number, because a few bytes a file would otherwise be coalesced into one task
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    return manifest.repartition(tasks, "archive").mapInArrow(_read(with_payload), _READ)
 
 
 def resolve(stored: DataFrame) -> DataFrame:
