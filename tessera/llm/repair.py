@@ -38,6 +38,8 @@ MIN_COUNT = 8
 ROUNDS = 5
 #: Symbols stay below this, so that they are stored in two bytes where the vocabulary allows.
 MAX_SYMBOL = 1 << 16
+#: Tasks that files are dealt to for reading, at most.
+READ_TASKS = 20_000
 MAGIC = b"REPAIR01"
 _ARRAYS = (
     ("doc_id", "<i8"), ("has_id", "u1"), ("doc_symbols", "<u4"), ("doc_tokens", "<u4"),
@@ -260,7 +262,8 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     parts = parts.select("part", before.alias("part_base"))
     inside = F.sum("tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("tokens")
     files = manifest.withColumn("inside", inside).join(parts, "part").select("path", (F.col("inside") + F.col("part_base")).alias("base"))
-    return files.repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a stated number, because a few bytes a file would otherwise be coalesced into one task
+    return files.repartition(max(1, min(manifest.count(), READ_TASKS)), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
