@@ -7,8 +7,12 @@ differ by an edit fall back into step by chance, and edit distance turns into
 Hamming distance between the emitted words.  Windows of an item's size class
 start at every ``STRIDE``-th word of a document and at every word of an item.
 Each of several tables samples a few embedding coordinates; windows equal on
-them are candidates.  A candidate is verified by exact edit distance between
-the item and the aligned stretch of the document.
+them are candidates.  Walks miss some edited and short items, so each item is
+also cut into one piece more than it may have edits: one piece at least is
+unedited in every stretch that counts, and is looked up at every word of a
+document, so that no pair is missed at any length.  A candidate is verified
+by exact edit distance between the item and the aligned stretch of the
+document.
 """
 
 from __future__ import annotations
@@ -77,6 +81,30 @@ def sketch(words: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[i
         yield from keys.items()
 
 
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """A key of the ``size`` words at every position that has as many."""
+    keys = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for j in range(size):
+        keys = (keys ^ words[j : j + len(keys)]) * _M1
+        keys ^= keys >> np.uint64(31)
+    return keys
+
+
+def edits_of(words: int, similarity: float) -> int:
+    """Edits that an item of so many words may have."""
+    return int((1 - similarity) * words + 1e-9)
+
+
+def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """(key, item, start) in the order of keys, and the leading key bits that occur."""
+    key, item, start = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key, item, start = key[order], item[order], start[order]
+    bits = np.zeros(1 << 20, bool)
+    bits[(key >> np.uint64(44)).astype(np.int64)] = True
+    return key, item, start, bits
+
+
 def fit(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int] | None:
     """(edits, end) of the stretch of ``words`` nearest to the whole item, if at most ``most`` edits away.
 
@@ -110,7 +138,7 @@ def fit(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int] | Non
 
 @dataclass
 class Index:
-    """The LSH tables of a block of items."""
+    """The LSH tables and the pieces of a block of items."""
 
     items: list[tuple[object, np.ndarray]]
     similarity: float
@@ -130,15 +158,25 @@ class Index:
                 starts = np.arange(len(w) - size + 1)
                 for t, found in sketch(padded, starts, size):
                     keys.setdefault(t, []).append((found, np.full(len(starts), k), starts))
-            tables = {}
-            for t, parts in keys.items():
-                key, item, start = (np.concatenate(c) for c in zip(*parts))
-                order = np.argsort(key, kind="stable")
-                key, item, start = key[order], item[order], start[order]
-                bits = np.zeros(1 << 20, bool)
-                bits[(key >> np.uint64(44)).astype(np.int64)] = True
-                tables[t] = (key, item, start, bits)
-            self.classes[size] = tables
+            self.classes[size] = {t: _table(parts) for t, parts in keys.items()}
+        pieces: dict[int, list] = {}
+        for k, (_, w) in enumerate(self.items):
+            n = min(edits_of(len(w), self.similarity) + 1, len(w))
+            cuts = [len(w) * i // n for i in range(n + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                pieces.setdefault(b - a, []).append((grams(w[a:b], b - a), np.array([k]), np.array([a])))
+        self.pieces = {size: _table(parts) for size, parts in pieces.items()}
+
+    def _lookups(self, words: np.ndarray) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
+        """(table, keys, their places in ``words``) of everything that is looked up."""
+        for size, table in self.pieces.items():
+            keys = grams(words, size)
+            yield table, keys, np.arange(len(keys))
+        for size, tables in self.classes.items():
+            padded = np.concatenate([words, np.zeros(2 * size + 8, np.uint64)])
+            starts = np.arange(0, len(words), min(STRIDE, size))
+            for t, keys in sketch(padded, starts, size):
+                yield tables[t], keys, starts
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edits, word offset of the stretch's end) for every contaminated pair.
@@ -150,35 +188,32 @@ class Index:
         begin = np.concatenate([[0], bounds[:-1]]).astype(np.int64)
         distinct = self.distinct
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for size, tables in self.classes.items():
-            padded = np.concatenate([words, np.zeros(2 * size + 8, np.uint64)])
-            step = min(STRIDE, size)
-            starts = np.arange(0, len(words), step)
-            tried = set()
-            for t, keys in sketch(padded, starts, size):
-                key, item, start, bits = tables[t]
-                maybe = np.flatnonzero(bits[(keys >> np.uint64(44)).astype(np.int64)])
-                low = np.searchsorted(key, keys[maybe], "left")
-                high = np.searchsorted(key, keys[maybe], "right")
-                for m in np.flatnonzero(high > low).tolist():
-                    at = int(starts[maybe[m]])
-                    doc = int(doc_of[at])
-                    for h in range(int(low[m]), int(high[m])):
-                        k, own = int(item[h]), self.items[int(item[h])][1]
-                        most = int((1 - self.similarity) * len(own) + 1e-9)
-                        origin = at - int(start[h])
-                        # matches of one alignment share a stretch: it is verified once
-                        if (doc, k, origin // (most + 1)) in tried:
-                            continue
-                        tried.add((doc, k, origin // (most + 1)))
-                        a = max(int(begin[doc]), origin - 2 * most - 1)
-                        b = min(int(bounds[doc]), origin + len(own) + 2 * most + 1)
-                        # every distinct word that the stretch lacks costs an edit
-                        if len(distinct[k].difference(words[a:b].tolist())) > most:
-                            continue
-                        found = fit(own, words[a:b], most)
-                        if found and found < best.get((doc, k), (1 << 30, 0)):
-                            best[doc, k] = found[0], a + found[1] - int(begin[doc])
+        tried = set()
+        for (key, item, start, bits), keys, starts in self._lookups(words):
+            maybe = np.flatnonzero(bits[(keys >> np.uint64(44)).astype(np.int64)])
+            low = np.searchsorted(key, keys[maybe], "left")
+            high = np.searchsorted(key, keys[maybe], "right")
+            for m in np.flatnonzero(high > low).tolist():
+                at = int(starts[maybe[m]])
+                doc = int(doc_of[at])
+                for h in range(int(low[m]), int(high[m])):
+                    k, own = int(item[h]), self.items[int(item[h])][1]
+                    most = edits_of(len(own), self.similarity)
+                    if not most and (doc, k) in best:
+                        continue
+                    origin = at - int(start[h])
+                    # matches of one alignment share a stretch: it is verified once
+                    if (doc, k, origin // (most + 1)) in tried:
+                        continue
+                    tried.add((doc, k, origin // (most + 1)))
+                    a = max(int(begin[doc]), origin - 2 * most - 1)
+                    b = min(int(bounds[doc]), origin + len(own) + 2 * most + 1)
+                    # every distinct word that the stretch lacks costs an edit
+                    if len(distinct[k].difference(words[a:b].tolist())) > most:
+                        continue
+                    found = fit(own, words[a:b], most)
+                    if found and found < best.get((doc, k), (1 << 30, 0)):
+                        best[doc, k] = found[0], a + found[1] - int(begin[doc])
         for (doc, k), (edits, end) in sorted(best.items()):
             yield doc, k, edits, end
 
