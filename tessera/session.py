@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks in local mode) a temporary folder takes its place.
+    and the master is local (tests, notebooks) a temporary folder takes its
+    place.  Elsewhere executors would write to disks of their own, so it is an
+    error.
     """
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} is unset; it must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(CHECKPOINT_DIR, named)
     if not spark.sparkContext.getCheckpointDir():
