@@ -107,7 +107,7 @@ def _cut_pieces(path: str, size: int, end_id: int):
         tokens = encoder(path)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for first, last, ids, n in tokens.batches(texts):
                 rows, at = [], 0
                 for k in range(first, last):

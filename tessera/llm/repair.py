@@ -2,15 +2,16 @@
 
 A shard is a run of documents in ascending doc_id order.  Frequent pairs of
 neighbouring ids are replaced by nonterminals, round after round, never across
-a document's end; the rules, the expanded length of every nonterminal and the
-place of every document are stored, so one document, or the ids from any
-position on, are decoded without the rest.
+a document's end, until no pair occurs ``MIN_COUNT`` times; the rules, the
+expanded length of every nonterminal and the place of every document are
+stored, so one document, or the ids from any position on, are decoded without
+the rest.
 
-File: ``REPAIR01``, then little-endian unsigned 64-bit counts (documents,
-terminals' bound, rules, rounds, symbols, bytes a symbol), then the arrays
+File: ``REPAIR02``, then little-endian unsigned 64-bit counts (documents,
+terminals' bound, rules, rounds, symbols, bits a symbol), then the arrays
 ``doc_id`` i8, ``has_id`` u1, ``doc_symbols`` u4, ``doc_tokens`` u4,
-``round_rules`` u4, ``rule_left`` u4, ``rule_right`` u4, ``rule_length`` u4
-and the symbols.
+``round_rules`` u4, ``rule_left`` u4, ``rule_right`` u4, ``rule_length`` u4,
+the symbols' low 16 bits u2 and one bit plane for each bit above them.
 """
 
 from __future__ import annotations
@@ -26,21 +27,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _files
-from tessera.llm._tokens import encoder
+from tessera.llm._tokens import encoder, spread
 from tessera.session import scratch, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_TOKENS = 2_000_000
-#: A pair must occur this often in a shard to become a rule, which costs two ids and a length.
+#: A pair must occur this often in a shard to become a rule, whose two ids and length take the room of six symbols.
 MIN_COUNT = 8
-ROUNDS = 5
-#: Symbols stay below this, so that they are stored in two bytes where the vocabulary allows.
-MAX_SYMBOL = 1 << 16
 #: Tasks that files are dealt to for reading, at most.
 READ_TASKS = 20_000
-MAGIC = b"REPAIR01"
+MAGIC = b"REPAIR02"
 _ARRAYS = (
     ("doc_id", "<i8"), ("has_id", "u1"), ("doc_symbols", "<u4"), ("doc_tokens", "<u4"),
     ("round_rules", "<u4"), ("rule_left", "<u4"), ("rule_right", "<u4"), ("rule_length", "<u4"),
@@ -48,76 +46,128 @@ _ARRAYS = (
 _SLOTS = 1 << 22
 
 
-def _frequent(symbols: np.ndarray, joins: np.ndarray, room: int, least: int) -> np.ndarray:
-    """Pair codes to replace, the most frequent first; counts cover the whole shard.
+def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted pair codes that occur ``least`` times, places that hold one, which one); exact.
 
     A table of hashed counts tells which places can hold a frequent pair; only
-    those are counted exactly.
+    those are sorted, each as one number of pair and place where that fits.
     """
-    code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int32)
-    table = np.bincount(slot[joins], minlength=_SLOTS)
-    pairs, counts = np.unique(code[joins & (table >= least)[slot]], return_counts=True)
-    pairs, counts = pairs[counts >= least], counts[counts >= least]
-    return pairs[np.lexsort((pairs, -counts))[:room]]
-
-
-def compress(symbols: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROUNDS, least: int = MIN_COUNT) -> dict:
+    code = left.astype(np.uint64) << np.uint64(32) | right
+    if len(code) > _SLOTS >> 4:
+        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int32)
+        at = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
+    else:
+        at = np.arange(len(code))
+    if not len(at):
+        return code[:0], at, at
+    bits = int(max(left.max(), right.max())).bit_length()
+    places = len(code).bit_length()
+    if 2 * bits + places <= 64:
+        key = np.sort((left[at].astype(np.uint64) << np.uint64(bits) | right[at]) << np.uint64(places) | at.astype(np.uint64))
+        order = (key & np.uint64((1 << places) - 1)).astype(np.int64)
+        key >>= np.uint64(places)
+    else:
+        order = at[np.argsort(code[at], kind="stable")]
+        key = code[order]
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+    counts = np.diff(np.append(first, len(key)))
+    often = counts >= least
+    number = np.where(often, np.cumsum(often) - 1, -1)
+    which = np.repeat(number, counts)
+    held = which >= 0
+    back = np.sort(order[held] << 32 | which[held])
+    return code[order[first[often]]], back >> 32, back & 0xFFFFFFFF
+
+
+def compress(symbols: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = MIN_COUNT) -> dict:
     """Grammar of one shard: symbols and document lengths become arrays of the file format.
 
-    ``ends`` are the positions after each document.  Every round replaces its
-    pairs at once: in a run of overlapping occurrences every second one from
-    the left is taken.
+    ``ends`` are the positions after each document.  Every round replaces all
+    pairs that occur ``least`` times; in a run of overlapping occurrences
+    every second one from the left is taken.  A pair taken less often, because
+    its neighbours were, waits for the next round.  Only pairs that were
+    frequent and those beside a replaced one can be frequent in the next
+    round, so only they are counted again.  Rounds end when there is none.
     """
-    symbols = symbols.astype(np.uint32)
-    tokens = np.diff(ends, prepend=0)
+    n = len(symbols)
+    symbol = np.append(symbols, 0).astype(np.uint32)
+    follows = np.arange(1, n + 2, dtype=np.int32)
+    before = np.arange(-1, n, dtype=np.int32)
+    # no pair starts at a document's last symbol
+    last = np.zeros(n + 1, bool)
+    last[ends[ends > 0] - 1] = True
+    last[n:] = True
+    alive = np.ones(n, bool)
+    active = np.flatnonzero(~last[:n])
     lefts, rights, per_round = [], [], []
     next_symbol = vocabulary
-    for r in range(rounds):
-        # rooms shrink so that later rounds can build on earlier ones
-        room = max(0, MAX_SYMBOL - next_symbol) // (2 if r < rounds - 1 else 1)
-        if len(symbols) < 2 or not room:
-            break
-        joins = np.ones(len(symbols) - 1, bool)
-        joins[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(symbols))] - 1] = False
-        pairs = np.sort(_frequent(symbols, joins, room, least))
+    while len(active):
+        pairs, where, which = _frequent(symbol[active], symbol[follows[active]], least)
         if not len(pairs):
             break
-        code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        hit = np.zeros(_SLOTS, bool)
-        mix = lambda c: ((c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int32)
-        hit[mix(pairs)] = True
-        at = np.flatnonzero(joins & hit[mix(code)])
-        which = np.searchsorted(pairs, code[at])
-        exact = pairs[np.minimum(which, len(pairs) - 1)] == code[at]
-        at, which = at[exact], which[exact]
-        first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        at = active[where]
+        starts = np.ones(len(at), bool)
+        starts[1:] = follows[at[:-1]] != at[1:]
+        first = np.flatnonzero(starts)
         run = np.repeat(first, np.diff(np.append(first, len(at))))
         take = (np.arange(len(at)) - run) % 2 == 0
-        at, which = at[take], which[take]
-        symbols[at] = next_symbol + which
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        ends = np.cumsum(keep)[ends - 1] if len(ends) else ends
-        symbols = symbols[keep]
+        taken = np.bincount(which[take], minlength=len(pairs))
+        chosen = taken >= least
+        if not chosen.any():
+            chosen = taken == taken.max()
+        take &= chosen[which]
+        number = np.cumsum(chosen) - 1
+        new, gone = at[take], follows[at[take]]
+        symbol[new] = next_symbol + number[which[take]]
+        last[new] = last[gone]
+        follows[new] = follows[gone]
+        before[follows[new]] = new
+        alive[gone] = False
+        pairs = pairs[chosen]
         lefts.append((pairs >> np.uint64(32)).astype(np.uint32))
         rights.append((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         per_round.append(len(pairs))
         next_symbol += len(pairs)
+        near = np.concatenate([at, before[new][before[new] >= 0]])
+        near = near[alive[near] & ~last[near]]
+        if len(near) > n >> 5:
+            changed = np.zeros(n, bool)
+            changed[near] = True
+            active = np.flatnonzero(changed)
+        else:
+            active = np.unique(near)
     left = np.concatenate([np.zeros(0, np.uint32), *lefts])
     right = np.concatenate([np.zeros(0, np.uint32), *rights])
     length = np.ones(vocabulary + len(left), np.uint32)
     at = vocabulary
-    for n in per_round:
-        k = slice(at - vocabulary, at - vocabulary + n)
-        length[at : at + n] = length[left[k]] + length[right[k]]
-        at += n
+    for k in per_round:
+        rules = slice(at - vocabulary, at - vocabulary + k)
+        length[at : at + k] = length[left[rules]] + length[right[rules]]
+        at += k
+    until = np.concatenate([[0], np.cumsum(alive)])[ends]
     return {
-        "vocabulary": vocabulary, "doc_symbols": np.diff(ends, prepend=0), "doc_tokens": tokens, "round_rules": np.array(per_round),
-        "rule_left": left, "rule_right": right, "rule_length": length[vocabulary:], "symbols": symbols,
+        "vocabulary": vocabulary, "doc_symbols": np.diff(until, prepend=0), "doc_tokens": np.diff(ends, prepend=0), "round_rules": np.array(per_round, np.int64),
+        "rule_left": left, "rule_right": right, "rule_length": length[vocabulary:], "symbols": symbol[:n][alive],
     }
 
 
+def expand_all(grammar: dict) -> np.ndarray:
+    """Ids of all symbols: every rule is written out once, then every symbol is looked up."""
+    vocabulary = grammar["vocabulary"]
+    size = np.append(np.ones(vocabulary, np.int64), grammar["rule_length"])
+    start = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.uint32)
+    flat[:vocabulary] = np.arange(vocabulary)
+    at = vocabulary
+    for n in grammar["round_rules"].tolist():
+        k = slice(at - vocabulary, at - vocabulary + n)
+        parts = np.stack([grammar["rule_left"][k], grammar["rule_right"][k]], 1).ravel()
+        flat[start[at] : start[at + n - 1] + size[at + n - 1]] = flat[spread(start[parts], size[parts])]
+        at += n
+    symbols = grammar["symbols"]
+    return flat[spread(start[symbols], size[symbols])]
+
+
 def expand(grammar: dict, symbols: np.ndarray) -> np.ndarray:
     """Ids of a run of symbols, the youngest rules first."""
     bound = grammar["vocabulary"] + int(grammar["round_rules"].sum())
@@ -153,27 +203,39 @@ def document(grammar: dict, k: int, start: int = 0, count: int | None = None) ->
 
 def dump(grammar: dict, stream) -> int:
     """Write a grammar with ``doc_id`` and ``has_id``; returns the bytes written."""
-    top = grammar["vocabulary"] + len(grammar["rule_left"])
-    wide = 2 if top <= 1 << 16 else 4
-    counts = (len(grammar["doc_id"]), grammar["vocabulary"], len(grammar["rule_left"]), len(grammar["round_rules"]), len(grammar["symbols"]), wide)
+    bits = max(16, int(grammar["vocabulary"] + len(grammar["rule_left"])).bit_length())
+    symbols = grammar["symbols"]
+    counts = (len(grammar["doc_id"]), grammar["vocabulary"], len(grammar["rule_left"]), len(grammar["round_rules"]), len(symbols), bits)
     parts = [MAGIC, struct.pack("<6Q", *counts)]
     parts += [np.ascontiguousarray(grammar[name]).astype(kind).tobytes() for name, kind in _ARRAYS]
-    parts.append(grammar["symbols"].astype(f"<u{wide}").tobytes())
+    parts.append((symbols & 0xFFFF).astype("<u2").tobytes())
+    parts += [np.packbits((symbols >> b & 1).astype(bool)).tobytes() for b in range(16, bits)]
     for p in parts:
         stream.write(p)
     return sum(map(len, parts))
 
 
-def load(data: bytes) -> dict:
-    """The grammar of a file."""
+def load_head(data: bytes) -> tuple[dict, int, int, int]:
+    """(grammar without symbols, place of the symbols, their number, bits each) of the first bytes of a file."""
     if data[:8] != MAGIC:
         raise ValueError("not a Re-Pair file")
-    docs, vocabulary, rules, rounds, symbols, wide = struct.unpack_from("<6Q", data, 8)
+    docs, vocabulary, rules, rounds, symbols, bits = struct.unpack_from("<6Q", data, 8)
     out, at = {"vocabulary": vocabulary}, 56
-    sizes = (docs, docs, docs, docs, rounds, rules, rules, rules)
-    for (name, kind), n in zip((*_ARRAYS, ("symbols", f"<u{wide}")), (*sizes, symbols)):
+    for (name, kind), n in zip(_ARRAYS, (docs, docs, docs, docs, rounds, rules, rules, rules)):
         out[name] = np.frombuffer(data, kind, n, at)
         at += out[name].nbytes
+    return out, at, symbols, bits
+
+
+def load(data: bytes) -> dict:
+    """The grammar of a file."""
+    out, at, n, bits = load_head(data)
+    symbols = np.frombuffer(data, "<u2", n, at).astype(np.uint32)
+    at += 2 * n
+    for b in range(16, bits):
+        symbols |= np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(np.uint32) << np.uint32(b)
+        at += -(-n // 8)
+    out["symbols"] = symbols
     return out
 
 
@@ -203,7 +265,7 @@ def _write(path: str, folder: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             for first, last, ids, n in tokens.batches(texts):
                 ends = np.cumsum(n)
                 held_ids.append(np.insert(ids, ends, end_id))
@@ -240,10 +302,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, base in zip(batch.column("path"), batch.column("base")):
             with _files.read_stream(path.as_py()) as stream:
                 grammar = load(stream.read())
-            ids = expand(grammar, grammar["symbols"]).astype("<u4")
+            ids = expand_all(grammar).astype("<u4")
             n = grammar["doc_tokens"].astype(np.int64)
             ends = np.cumsum(n)
-            crc = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(ends, n)]
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(grammar["doc_id"], mask=grammar["has_id"] == 0),
@@ -266,6 +329,51 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     return files.repartition(max(1, min(manifest.count(), READ_TASKS)), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("path"):
+            with _files.read_stream(path.as_py()) as stream:
+                docs = struct.unpack_from("<Q", stream.read(56), 8)[0]
+                ids = np.frombuffer(stream.read(8 * docs), "<i8")
+                has = np.frombuffer(stream.read(docs), "u1")
+            known = np.flatnonzero(has)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[known]), pa.array([path.as_py()] * len(known), pa.string()), pa.array(known)], ["doc_id", "path", "place"]
+            )
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path, grammar = None, {}
+    for batch in batches:
+        found = []
+        for p, place, start, count in zip(*(batch.column(c).to_pylist() for c in ("path", "place", "start", "count"))):
+            if p != path:
+                with _files.read_stream(p) as stream:
+                    path, grammar = p, load(stream.read())
+            found.append(document(grammar, place, start or 0, count))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("start"), batch.column("count"), pa.array(found, pa.list_(pa.int64()))],
+            ["doc_id", "start", "count", "ids"],
+        )
+
+
+def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, start, count, ids: the ids from ``start`` on, ``count`` at most, of every wanted document.
+
+    ``wanted`` has doc_id, start and count; a null start is 0, a null count
+    the rest.  Files' heads give the documents' places; only rows of places
+    are shuffled, and only the symbols that hold the ids are expanded, found
+    by the expanded lengths.  A doc_id that several documents have gives a row
+    for each, an unknown or null one none.
+    """
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    index = manifest.repartition(tasks, "path").mapInArrow(_heads, "doc_id long, path string, place long")
+    asked = wanted.select(F.col("doc_id").cast("long"), F.col("start").cast("long"), F.col("count").cast("long")).join(index, "doc_id")
+    # a file that many ask for is read by up to eight tasks
+    dealt = asked.repartition(tasks, "path", F.pmod(F.xxhash64("doc_id", "start"), F.lit(8))).sortWithinPartitions("path")
+    return dealt.mapInArrow(_fetch, "doc_id long, start long, count long, ids array<long>")
+
+
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write the ids of ``docs`` to the shared folder and describe what is read back."""
     return read_ids(write_ids(docs, scratch(docs.sparkSession, "token-ids"), tokenizer))

@@ -16,12 +16,12 @@ from tessera.session import scratch
 def check(docs, vocabulary=20):
     flat = np.array([x for d in docs for x in d], np.uint32)
     ends = np.cumsum([len(d) for d in docs]).astype(np.int64)
-    g = repair.compress(flat, ends, vocabulary, rounds=4, least=2)
+    g = repair.compress(flat, ends, vocabulary, least=2)
     g["doc_id"], g["has_id"] = np.arange(len(docs)), np.ones(len(docs))
     out = io.BytesIO()
     assert repair.dump(g, out) == len(out.getvalue())
     g = repair.load(out.getvalue())
-    assert repair.expand(g, g["symbols"]).tolist() == flat.tolist()
+    assert repair.expand(g, g["symbols"]).tolist() == flat.tolist() == repair.expand_all(g).tolist()
     for k, d in enumerate(docs):
         assert repair.document(g, k).tolist() == list(d)
         assert repair.document(g, k, 1, 3).tolist() == list(d)[1:4]
@@ -56,3 +56,30 @@ def test_files_in_doc_id_order(spark, shard):
         assert r.start == at
         at += r.n_tokens
     assert repair.round_trip(docs.limit(0)).collect() == []
+    wanted = spark.createDataFrame([(3, None, None), (3, 5, 7), (5, 1, 100), (77, 0, 1), (None, 0, 1)], "doc_id long, start long, count long")
+    found = {(r.doc_id, r.start): r.ids for r in repair.lookup(manifest, wanted).collect()}
+    ids = lambda k: [*library.encode(texts[k], add_special_tokens=False).ids, 2]
+    assert found == {(3, None): ids(3), (3, 5): ids(3)[5:12], (5, 1): ids(5)[1:]}
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(5)
+    flat = rng.zipf(1.3, 60_000).clip(1, 900).astype(np.uint32)
+    ends = np.unique(np.append(rng.integers(1, 60_000, 40), 60_000))
+    g = repair.compress(flat, ends, 1000)
+    assert repair.expand_all(g).tolist() == flat.tolist()
+    joined = np.ones(len(g["symbols"]) - 1, bool)
+    joined[np.cumsum(g["doc_symbols"])[:-1] - 1] = False
+    pairs = list(zip(g["symbols"][:-1][joined].tolist(), g["symbols"][1:][joined].tolist()))
+    most = max(pairs.count(p) for p in set(pairs[:2000]))
+    assert most < repair.MIN_COUNT and len(g["symbols"]) < len(flat)
+
+
+def test_symbols_beyond_two_bytes():
+    g = repair.compress(np.arange(140_000) % 70_000, np.array([140_000]), 70_000, least=2)
+    g["doc_id"], g["has_id"] = np.arange(1), np.ones(1)
+    out = io.BytesIO()
+    repair.dump(g, out)
+    back = repair.load(out.getvalue())
+    assert g["symbols"].tolist() == back["symbols"].tolist() and int(g["rule_left"].max()) > 1 << 16
+    assert repair.expand_all(back).tolist() == (np.arange(140_000) % 70_000).tolist()
