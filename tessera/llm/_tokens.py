@@ -25,9 +25,9 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Taken off a word's end when the rest ends in a letter: letters and these never share a token.
 _TAIL = ".,*$%&#!?;:"
 #: Distinct pieces held by one worker before it starts afresh; results do not depend on it.
-MAX_PIECES = 1_200_000
+MAX_PIECES = 900_000
 #: Characters of text in work at a time.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 2_000_000
 
 _WIDE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: White space to Python's str.split, but ordinary characters to the tokenizers.

@@ -1,10 +1,10 @@
 """Vector best-fit packing of tokenised documents into sequences.
 
 A sequence has three capacities: tokens, documents and attention cost (the
-sum of squared piece lengths, what block-diagonal attention computes).  Every
-piece goes, longest first, to the open sequence that has room in all three
-and leaves the smallest weighted residual norm (or gives the largest weighted
-dot product of demand and residual).
+square tiles that block-diagonal attention computes, which rounds every piece
+up to whole tiles).  Every piece goes, longest first, to the open sequence
+that has room in all three and leaves the smallest weighted residual norm (or
+gives the largest weighted dot product of demand and residual).
 """
 
 from __future__ import annotations
@@ -24,18 +24,25 @@ from tessera.session import written
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-#: Documents a sequence may hold.
-SEQUENCE_DOCS = 2048
-#: Attention cost a sequence may have, in squared tokens.
-SEQUENCE_COST = SEQUENCE_TOKENS**2
+#: Documents a sequence may hold: binds where only short pieces are left, before it costs sequences.
+SEQUENCE_DOCS = 64
+#: Side of an attention tile in tokens.
+TILE = 128
+#: Attention tiles of a sequence: those of one full piece, and one more so that a short piece can join a nearly full one.
+SEQUENCE_COST = (SEQUENCE_TOKENS // TILE) ** 2 + 1
 #: Weights of tokens, documents and attention cost, each as a share of its capacity.
-WEIGHTS = (1.0, 0.001, 0.001)
+WEIGHTS = (1.0, 0.05, 0.05)
 #: Pieces one packing task holds; the number of tasks grows with the corpus.
 SHARD_PIECES = 20_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def tiles(length):
+    """Attention tiles of a piece, a number or an array of them."""
+    return (-(-length // TILE)) ** 2
+
+
 def best_fit(
     lengths: np.ndarray,
     tokens: int = SEQUENCE_TOKENS,
@@ -44,7 +51,7 @@ def best_fit(
     weights: tuple[float, float, float] = WEIGHTS,
     score: str = "norm",
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece; every length is from 1 to ``tokens``.
+    """(sequence, offset) of each piece; every length is from 1 to ``tokens``, and a piece alone fits the other capacities.
 
     Longest pieces first, equal ones in the order given; of equally good
     sequences the one opened first.  Open sequences with the same residuals
@@ -62,7 +69,7 @@ def best_fit(
     used = 0
     for k in order.tolist():
         n = int(lengths[k])
-        demand = np.array([n, 1, n * n], np.float64)
+        demand = np.array([n, 1, tiles(n)], np.float64)
         chosen = -1
         if used:
             left = state[:used] - demand
@@ -154,16 +161,21 @@ def pack(
     """Add ``sequence_id`` and ``offset`` to every piece (a row with ``length`` from 1 to ``tokens``).
 
     Pieces are dealt into shards of about ``shard_pieces`` by a hash of the
-    piece's contents and place, so all shards see the same mix of lengths and
-    each leaves at most a few sequences part-filled.  Offsets in a sequence
+    piece's contents, place and row, so all shards see the same mix of lengths
+    (rows that repeat are spread too) and each leaves at most a few sequences
+    part-filled.  ``pieces`` is a stored table, so a task that is run again
+    deals the same rows.  Offsets in a sequence
     are gapless from 0 and every capacity holds.  Sequence ids are unique,
-    their order has no meaning.  No pieces give no rows.
+    their order has no meaning.  Columns of the input called sequence_id or
+    offset are replaced.  No pieces give no rows.
     """
+    if cost < tiles(tokens) or docs < 1:
+        raise ValueError("a full piece must fit a sequence of its own")
     n = pieces.count()
     shards = max(1, -(-n // shard_pieces))
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", "__shard")]
     dealt = pieces.select(
-        *kept, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)).alias("__shard")
+        *kept, F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).alias("__shard")
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*kept).schema)
 
@@ -177,6 +189,18 @@ def pack(
     return dealt.groupBy("__shard").applyInArrow(packed, f"{schema}, sequence_id long, offset long")
 
 
+def residuals(
+    packed: DataFrame, tokens: int = SEQUENCE_TOKENS, docs: int = SEQUENCE_DOCS, cost: int = SEQUENCE_COST
+) -> DataFrame:
+    """sequence_id, tokens_left, docs_left, cost_left: the room left in every sequence of ``pack``."""
+    tile = F.ceil(F.col("length") / TILE)
+    return packed.groupBy("sequence_id").agg(
+        (F.lit(tokens) - F.sum("length")).alias("tokens_left"),
+        (F.lit(docs) - F.count("*")).alias("docs_left"),
+        (F.lit(cost) - F.sum(tile * tile)).alias("cost_left"),
+    )
+
+
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """Tokenise, cut and pack ``docs`` (doc_id, text); one row per piece.
 
