@@ -11,6 +11,7 @@ stable boundary the text is done again with wider overlaps, at last whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,13 @@ from tessera.llm._tokens import encoder
 from tessera.session import written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CHUNK_CHARS = 200_000
-OVERLAP_CHARS = 2_000
+#: Texts longer than this are encoded in chunks.
+CHUNK_CHARS = 6_000
+OVERLAP_CHARS = 300
 WIDEN = 16
 LIMIT = 512
 
+_LONE = re.compile(r"(?<=\S) (?=\S)")
 _SUMMARY = "row long, k int, total long, last boolean, left_at array<long>, left_n array<long>, right_at array<long>, right_n array<long>"
 
 
@@ -36,11 +39,10 @@ def _count_small(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            texts = batch.column("text")
-            n = [np.zeros(0, np.int64), *(part for *_, part in tokens.batches(texts, want_ids=False))]
+            n = [np.zeros(0, np.int64), *(part for *_, part in tokens.batches(batch.column("text"), want_ids=False))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.concatenate(n))],
-                ["doc_id", "n_bytes", "n_tokens"],
+                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(np.concatenate(n)), pa.array(np.ones(len(batch), np.int64))],
+                ["doc_id", "n_bytes", "n_tokens", "n_chunks"],
             )
 
     return count
@@ -60,15 +62,13 @@ def _cut(chunk: int, overlap: int):
     return cut
 
 
-def stable_starts(part: str, offsets: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, tokens before each) of the token starts that hold in any surroundings."""
-    found = [
-        (a, k)
-        for k, (a, b) in enumerate(offsets)
-        if 0 < a < len(part) - 1 and part[a] == " " and not part[a - 1].isspace() and not part[a + 1].isspace()
-    ]
-    at, n = zip(*found) if found else ((), ())
-    return np.array(at, np.int64), np.array(n, np.int64)
+def stable_starts(part: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, tokens before each) of those token ``starts`` that hold in any surroundings."""
+    lone = np.array([m.start() for m in _LONE.finditer(part)], np.int64)
+    n = np.searchsorted(starts, lone)
+    held = n < len(starts)
+    held[held] = starts[n[held]] == lone[held]
+    return lone[held], n[held]
 
 
 def _summarise(path: str, chunk: int, overlap: int):
@@ -78,7 +78,7 @@ def _summarise(path: str, chunk: int, overlap: int):
             rows = []
             for r in pdf.itertuples():
                 offsets = library.encode(r.part, add_special_tokens=False).offsets
-                at, n = stable_starts(r.part, offsets)
+                at, n = stable_starts(r.part, np.fromiter((a for a, _ in offsets), np.int64, len(offsets)))
                 at = at + r.begin
                 left = (at >= r.core - overlap) & (at < r.core + overlap) & (r.k > 0)
                 right = (at >= r.core + chunk - overlap) & (at < r.core + chunk + overlap) & (not r.last)
@@ -89,7 +89,7 @@ def _summarise(path: str, chunk: int, overlap: int):
 
 
 def _splice(summaries: DataFrame) -> DataFrame:
-    """(row, n_tokens), null where two neighbours found no common stable boundary."""
+    """(row, n_tokens, n_chunks); n_tokens is null where two neighbours found no common stable boundary."""
     order = Window.partitionBy("row").orderBy("k")
     common = F.array_intersect("right_at", F.lead("left_at").over(order))
     s = summaries.withColumn("meet", F.get(common, F.floor(F.size(common) / 2).cast("int")))
@@ -102,7 +102,7 @@ def _splice(summaries: DataFrame) -> DataFrame:
     return (
         s.withColumn("own", own)
         .groupBy("row")
-        .agg(F.when(F.count("own") == F.count("*"), F.sum("own")).alias("n_tokens"))
+        .agg(F.when(F.count("own") == F.count("*"), F.sum("own")).alias("n_tokens"), F.count("*").alias("n_chunks"))
     )
 
 
@@ -126,7 +126,7 @@ def _count_huge(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFra
     counts = done[0]
     for more in done[1:]:
         counts = counts.unionByName(more)
-    return docs.select("row", "doc_id", "n_bytes").join(counts, "row").select("doc_id", "n_bytes", "n_tokens")
+    return docs.select("row", "doc_id", "n_bytes").join(counts, "row").select("doc_id", "n_bytes", "n_tokens", "n_chunks")
 
 
 def count_tokens(
@@ -136,25 +136,29 @@ def count_tokens(
     overlap_chars: int = OVERLAP_CHARS,
     limit: int = LIMIT,
 ) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row of ``docs``.
+    """doc_id, n_bytes, n_tokens, n_chunks and over_limit (n_tokens > limit) for every row of ``docs``.
 
     Counts are those of ``encode(text, add_special_tokens=False)`` on the
     whole text, without truncation; special strings inside a text count as the
     library counts them.  Null and empty texts have 0 bytes and 0 tokens.
     Rows are neither merged nor dropped, doc_id may be null or repeat, other
-    columns are ignored.  ``tokenizer`` is a byte-level ``.json`` vocabulary.
+    columns are ignored.  ``tokenizer`` is a byte-level ``.json`` vocabulary;
+    others, whose tokens may cross a lone space, are refused.  ``n_chunks``
+    says how many chunks a text was spliced from.
 
     Texts up to ``chunk_chars`` are one task-local step without a shuffle.
     Longer ones become chunk rows dealt over the cluster, so that no task
     holds the tokens of more than one chunk.
     """
+    if not encoder(tokenizer).byte_level:
+        raise ValueError("chunks are spliced for byte-level vocabularies only")
     rows = docs.select(
         F.col("doc_id").cast("long"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
     )
     small = rows.where(F.char_length("text") <= chunk_chars).mapInArrow(
-        _count_small(tokenizer), "doc_id long, n_bytes long, n_tokens long"
+        _count_small(tokenizer), "doc_id long, n_bytes long, n_tokens long, n_chunks long"
     )
     huge = rows.where(F.char_length("text") > chunk_chars)
     if huge.head(1):
