@@ -1,10 +1,12 @@
 """WARC archives with revisit resolution.
 
-Headers alone (digest, page id, url) meet in a shuffle by payload digest; the
-page that keeps the payload is found by a partial aggregation, so a payload
-that a third of all pages share costs one row a task.  Pages are then joined
-with the originals of their digests and written as fresh archives: a response
-with the payload, or a revisit record that names the response.
+Headers alone (digest, page id, url, place) meet in a shuffle by payload
+digest; the page that keeps the payload is found by a partial aggregation, and
+every header of a repeated payload is joined to it.  What a revisit refers to
+is sent back to the input partition that its page lies in; that partition's
+task then writes fresh records from its own rows: a response with the payload,
+or a revisit that names the response.  Payloads are read where they lie and
+cross no shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from base64 import b32encode
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +49,19 @@ def _clean(url: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in url or "")
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {url}')}>"
+def record_id(page_id: int | None, url: str, sha: str, place: int) -> str:
+    """A record's name; the place keeps rows apart that agree in all else."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {sha} {place} {url}')}>"
 
 
-def _record(kind: str, page_id, url: str, sha: str, size: int, original, date: str, payload: bytes) -> bytes:
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+def _record(page_id, url: str, sha: str, place: int, original, date: str, payload: bytes) -> bytes:
+    kind = "response" if original is None else "revisit"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, url)}",
+        f"WARC-Record-ID: {record_id(page_id, url, sha, place)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{sha}",
@@ -65,11 +71,11 @@ def _record(kind: str, page_id, url: str, sha: str, size: int, original, date: s
     ]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
-    if kind == "revisit":
-        first_id, first_url = original
+    if original is not None:
+        first_id, first_url, first_place = original
         lines += [
             f"WARC-Profile: {PROFILE}",
-            f"WARC-Refers-To: {record_id(first_id, first_url)}",
+            f"WARC-Refers-To: {record_id(first_id, first_url, sha, first_place)}",
             f"WARC-Refers-To-Target-URI: {first_url}",
             f"WARC-Refers-To-Date: {date}",
             f"X-Refers-To-Page-ID: {first_id}",
@@ -82,27 +88,46 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _write(folder: str, limit: int, date: str):
+#: Bits of ``monotonically_increasing_id`` below the partition's number.
+_PART_BITS = 33
+
+
+def _sent_back(decisions: str, part: int) -> dict[int, tuple[str, tuple]]:
+    """place -> (digest, original) of the revisits among one input partition's rows."""
+    system, path = _files.opened(f"{decisions}/part={part}")
+    found = {}
+    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.endswith(".parquet"):
+            with system.open_input_file(info.path) as file:
+                rows = pq.ParquetFile(file).read().to_pydict()
+            for place, sha, *original in zip(*(rows[c] for c in ("place", "sha", "first_id", "first_url", "first_place"))):
+                found[place] = sha, tuple(original)
+    return found
+
+
+def _write(folder: str, decisions: str, limit: int, date: str):
+    schema = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, out, size, records = None, None, 0, 0
+        part, revisits = None, {}
 
         def manifest():
             out.close()
-            return pa.RecordBatch.from_pylist(
-                [{"archive": uri, "records": records, "bytes": size}], pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
-            )
+            return pa.RecordBatch.from_pylist([{"archive": uri, "records": records, "bytes": size}], schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "sha", "html", "first_id", "first_url"))):
-                page_id, url, sha, html, first_id, first_url = (v.as_py() for v in row)
-                payload = (html or "").encode()
-                revisit = first_id is not None and first_id != page_id
-                data = _member(
-                    _record(
-                        "revisit" if revisit else "response", page_id, _clean(url), sha, len(payload),
-                        (first_id, _clean(first_url)), date, payload,
-                    )
-                )
+            for row in zip(*(batch.column(c) for c in ("place", "page_id", "url", "sha", "html"))):
+                place, page_id, url, sha, html = (v.as_py() for v in row)
+                if part != place >> _PART_BITS:
+                    part = place >> _PART_BITS
+                    revisits = _sent_back(decisions, part)
+                found, original = revisits.get(place, (sha, None))
+                if found != sha:
+                    raise ValueError("pages changed between two reads; store the table first")
+                if original is not None:
+                    original = (original[0], _clean(original[1]), original[2])
+                data = _member(_record(page_id, _clean(url), sha, place, original, date, (html or "").encode()))
                 if out is None:
                     uri, out = _files.create(folder, ".warc.gz")
                 out.write(data)
@@ -116,6 +141,23 @@ def _write(folder: str, limit: int, date: str):
     return write
 
 
+def revisits(located: DataFrame, min_payload_bytes: int) -> DataFrame:
+    """place, sha, first_id, first_url, first_place of every page whose payload another page keeps.
+
+    ``located`` has place (unique), page_id, url, sha and size.  Of equal
+    payloads the largest page_id keeps it, of rows that repeat that page_id
+    the last place is named.
+    """
+    headers = located.where(F.col("size") >= min_payload_bytes).select("sha", "place", "page_id", "url")
+    firsts = (
+        headers.groupBy("sha")
+        .agg(F.count("*").alias("n"), F.max(F.struct("page_id", "place", "url")).alias("first"))
+        .where("n > 1 AND first.page_id IS NOT NULL")
+        .select("sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.place").alias("first_place"))
+    )
+    return headers.join(firsts, "sha").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).drop("page_id", "url")
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -130,21 +172,26 @@ def write_archives(
     rows that repeat that page_id and payload are responses too.  Smaller
     payloads are always responses, and so are payloads all of whose page_ids
     are null.  A null html is an empty payload, a null url an empty target.
-    No rows give no archive.  Other columns are ignored.
+    Every record has a name of its own.  No rows give no archive.  Other
+    columns are ignored.
+
+    Pages are read twice and must be dealt alike both times, as a stored table
+    is: where a shuffle makes them they are stored first.  A difference would
+    be found by the digests and is an error.
     """
+    if "Exchange" in pages._jdf.queryExecution().executedPlan().toString():
+        pages = written(pages.select("page_id", "url", "html"), "pages")
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html", digest(payload).alias("sha"))
-    headers = pages.select(
-        F.col("page_id").cast("long"), "url", F.octet_length(payload).alias("size"), digest(payload).alias("sha")
-    ).where(F.col("size") >= min_payload_bytes)
-    firsts = (
-        headers.groupBy("sha")
-        .agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("first"))
-        .where("n > 1")
-        .select("sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    located = pages.select(
+        F.monotonically_increasing_id().alias("place"), F.col("page_id").cast("long"), "url", "html", digest(payload).alias("sha")
+    )
+    sent = revisits(located.withColumn("size", F.octet_length(payload)), min_payload_bytes)
+    sent = sent.withColumn("part", F.shiftright("place", _PART_BITS))
+    decisions = scratch(pages.sparkSession, "revisits")
+    sent.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(decisions)
+    return written(
+        located.mapInArrow(_write(folder, decisions, archive_bytes, date), "archive string, records long, bytes long"), "manifest"
     )
-    resolved = rows.join(firsts, "sha", "left").select("page_id", "url", "sha", "html", "first_id", "first_url")
-    return written(resolved.mapInArrow(_write(folder, archive_bytes, date), "archive string, records long, bytes long"), "manifest")
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:

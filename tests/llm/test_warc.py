@@ -59,3 +59,32 @@ def test_archives_hold_payloads_and_roll_over(spark):
 def test_digest_is_base32(spark):
     row = spark.createDataFrame([("naïve",), ("",)], "s string").select(warc.digest(F.col("s"))).collect()
     assert [r[0] for r in row] == [base64.b32encode(hashlib.sha1(s.encode()).digest()).decode() for s in ("naïve", "")]
+
+
+def test_every_record_has_a_name_and_revisits_name_one(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (0, "u", "b"), (0, "u", "b"), (None, "u", "b")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch(spark, "warc"))
+    heads = []
+    for f in manifest.collect():
+        with _files.read_stream(f.archive) as stream:
+            heads += [h for h, _ in warc.records(stream)]
+    names = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(names)) == len(rows)
+    referred = {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"}
+    assert len(referred) == 1 and referred <= {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+
+
+def test_a_third_of_the_pages_empty(spark):
+    rows = [(k, f"u{k}", None if k % 3 == 0 else f"<p>{k // 2}</p>" * (k % 50)) for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = [tuple(r)[:5] for r in warc.round_trip(pages).collect()]
+    assert sorted(got, key=key) == sorted(expected(rows), key=key)
+
+
+def test_no_payload_in_a_shuffle(spark, capfd):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    located = pages.select(F.monotonically_increasing_id().alias("place"), "page_id", "url", "html", warc.digest(F.col("html")).alias("sha"), F.length("html").alias("size"))
+    warc.revisits(located, 0).explain("formatted")
+    plan = capfd.readouterr().out
+    exchanges = [part for part in plan.split("\n\n") if "Exchange" in part.split("\n")[0] and "Input" in part]
+    assert exchanges and not any("html" in part for part in exchanges)
