@@ -1,45 +1,49 @@
 """Toxicity from the nearest labelled examples.
 
-Labelled documents become TF-IDF vectors over the features that labels single
-out: words and word beginnings found in toxic examples more often than chance
-explains.  A block-max inverted index over the examples gives every
-document's exact nearest neighbours by cosine; their distance-weighted votes,
-calibrated on the examples themselves, are its score and the neighbours the
-evidence.
+Labelled documents become TF-IDF vectors over all of their words and word
+beginnings.  A feature's weight is its idf times one plus the evidence, beyond
+chance, that it comes with toxic labels; no feature and no example is left
+out.  A block-max inverted index over the examples gives every document's
+exact nearest neighbours by cosine, itself excepted; their distance-weighted
+votes, calibrated on the examples themselves, are its score and the neighbours
+the evidence.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._tokens import spread
 from tessera.session import written
 
-#: Labelled rows the classifier is fitted on at most, chosen by a hash of doc_id.
-MAX_EXAMPLES = 12_000
-#: Features kept at most, the strongest first.
-MAX_FEATURES = 5_000
-#: A feature occurs in this many examples at least.
-MIN_EXAMPLES = 3
-#: Features kept for nothing that are expected at most.
-FALSE_FEATURE = 1.0
-PREFIXES = (4, 5, 6)
+#: Labelled documents the classifier is fitted on at most, chosen by a hash of doc_id.
+MAX_EXAMPLES = 4_000
+#: Postings of the index at most, of fewer examples where their texts are very long; what is broadcast takes about 10 bytes each.
+MAX_POSTINGS = 12_000_000
+#: Lengths of the word beginnings that are features beside the words; inflected words share them.
+PREFIXES = (6,)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks scored before the bounds are looked at again.
+GROUP = 12
+#: Features of more than this share of the examples have dense postings with block maxima; shorter lists are walked whole.
+LONG_SHARE = 0.3
 THRESHOLD = 0.3
 #: Weight of the base rate beside the votes.
 PRIOR_WEIGHT = 0.02
-#: Calibration steps.
-STEPS = 20
+#: Examples in a calibration step.
+STEP_EXAMPLES = 40
 _WORD = re.compile(r"\w+")
 _MEMO = 400_000
 
@@ -53,101 +57,182 @@ def words(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
+def hashed(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"))
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of a whole text's features."""
+    counts: dict[int, int] = {}
+    for word, n in words(text).items():
+        for f in map(hashed, features(word)):
+            counts[f] = counts.get(f, 0) + n
+    at = np.array(sorted(counts), np.uint64)
+    return at, np.array([counts[k] for k in at.tolist()], np.int64)
+
+
+def evidence(n: np.ndarray, bad: np.ndarray, base: float) -> np.ndarray:
+    """Chernoff exponent of ``bad`` toxic ones among ``n`` examples by chance; 0 unless more than the base rate."""
+    rate = bad / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        toxic = np.where(bad > 0, bad * np.log(rate / base), 0.0)
+        clean = np.where(n > bad, (n - bad) * np.log((1 - rate) / (1 - base)), 0.0)
+    return np.where(rate > base, toxic + clean, 0.0)
+
+
 @dataclass
 class Model:
-    """The fitted vocabulary and the block-max inverted index of the examples."""
+    """Feature weights and the block-max inverted index of the examples.
+
+    ``ids`` and ``toxic`` say what the examples are, ``doc``, ``term`` and
+    ``tf`` hold a row for every feature of every example.
+    """
 
-    idf: dict[str, tuple[int, float]]
     ids: np.ndarray
     toxic: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
-    empty_rate: float
+    doc: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
     calibration: tuple[np.ndarray, np.ndarray] | None = None
+    memo: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
-        terms = len(self.idf)
-        self.blocks = -(-len(self.ids) // BLOCK)
-        self.most = np.zeros((terms, self.blocks), np.float32)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for k, (at, weight) in enumerate(self.vectors):
-            for t, w in zip(at.tolist(), weight.tolist()):
-                postings.setdefault((t, k // BLOCK), []).append((k % BLOCK, w))
-        for (t, b), found in postings.items():
-            # rounded up, so that a bound never falls below a score
-            self.most[t, b] = max(w for _, w in found) * (1 + 1e-6)
-        self.postings = {key: (np.array([k for k, _ in v]), np.array([w for _, w in v])) for key, v in postings.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.weight = np.array([w for _, w in sorted(self.idf.values())])
+        n = len(self.ids)
+        self.keys, term = np.unique(self.term, return_inverse=True)
+        df = np.bincount(term, minlength=len(self.keys))
+        base = float(self.toxic.mean()) if n else 0.0
+        self.weight = np.log((1 + n) / (1 + df)) if n else np.zeros(0)
+        if 0 < base < 1:
+            found = evidence(df, np.bincount(term, weights=self.toxic[self.doc], minlength=len(self.keys)), base)
+            # as many features were looked at, so that much evidence is chance
+            self.weight = self.weight * (1 + np.maximum(0.0, found - np.log(len(self.keys))))
+        w = (1 + np.log(self.tf)) * self.weight[term]
+        norm = np.sqrt(np.bincount(self.doc, weights=w * w, minlength=n))
+        w = w / np.where(norm > 0, norm, 1)[self.doc]
+        # examples without any weighted feature: the share of toxic ones among them, smoothed
+        blank = norm == 0
+        self.empty_rate = float((self.toxic[blank].sum() + 0.1) / (blank.sum() + 1)) if n else 0.0
+        # alike examples share blocks, so that block maxima tell blocks apart
+        heaviest = np.zeros(n, np.int64)
+        order = np.lexsort((w, self.doc))
+        heaviest[self.doc[order]] = term[order]
+        order = np.lexsort((self.ids, heaviest))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.ids, self.toxic = self.ids[order], self.toxic[order]
+        self.at_id = {int(k): j for j, k in enumerate(self.ids.tolist())}
+        self.blocks = max(1, -(-n // BLOCK))
+        doc = place[self.doc]
+        order = np.lexsort((doc, term))
+        self.post_doc, self.post_w = doc[order].astype(np.int32), w[order].astype(np.float32)
+        self.size = df
+        self.start = np.cumsum(df) - df
+        long = np.flatnonzero(df > max(BLOCK, LONG_SHARE * n))
+        self.row = np.full(len(self.keys), -1, np.int64)
+        self.row[long] = np.arange(len(long))
+        self.dense = np.zeros((len(long), self.blocks * BLOCK), np.float32)
+        where = spread(self.start[long], df[long])
+        self.dense[np.repeat(np.arange(len(long)), df[long]), self.post_doc[where]] = self.post_w[where]
+        self.dense = self.dense.reshape(len(long), self.blocks, BLOCK)
+        self.most = self.dense.max(2)
+        self.doc = self.term = self.tf = None
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of a whole text, of length one; empty without known features."""
-        counts: dict[int, int] = {}
+        """(features known to the index, weights) of a whole text, of length one."""
         memo = self.memo
-        for word, n in words(text).items():
-            known = memo.get(word)
-            if known is None:
-                if len(memo) >= _MEMO:
-                    memo.clear()
-                known = memo[word] = tuple(self.idf[f][0] for f in features(word) if f in self.idf)
-            for t in known:
-                counts[t] = counts.get(t, 0) + n
-        at = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[t]) for t in at.tolist()]) * self.weight[at] if len(at) else np.zeros(0)
-        return at, w / np.sqrt((w * w).sum()) if len(at) else w
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a positive cosine; exact, ties by example number.
-
-        Blocks are taken by falling bound until no bound reaches the k-th
-        score.
+        counted = words(text)
+        new = [w for w in counted if w not in memo]
+        if new:
+            if len(memo) > _MEMO:
+                memo.clear()
+                new = list(counted)
+            each = [[hashed(f) for f in features(w)] for w in new]
+            flat = np.fromiter(chain.from_iterable(each), np.uint64)
+            at = np.searchsorted(self.keys, flat)
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == flat[known]
+            k = 0
+            for w, own in zip(new, each):
+                end = k + len(own)
+                memo[w] = tuple(at[k:end][known[k:end]].tolist())
+                k = end
+        found = [memo[w] for w in counted]
+        at = np.fromiter(chain.from_iterable(found), np.int64)
+        if not len(at):
+            return at, np.zeros(0)
+        at, back = np.unique(at, return_inverse=True)
+        tf = np.bincount(back, weights=np.repeat(np.fromiter(counted.values(), np.float64), [len(f) for f in found]))
+        w = (1 + np.log(tf)) * self.weight[at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, skip: int | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a positive cosine but for the one with id ``skip``; exact, ties by id.
+
+        Short lists are added up first; block maxima of the long lists then
+        bound what each block can reach, and blocks are scored by falling
+        bound until none reaches the k-th cosine.
         """
-        bound = weight @ self.most[at]
+        row = self.row[at]
+        short, long = at[row < 0], row[row >= 0]
+        heavy = weight[row >= 0].astype(np.float32)
+        where, size = spread(self.start[short], self.size[short]), self.size[short]
+        part = np.bincount(
+            self.post_doc[where], weights=self.post_w[where] * np.repeat(weight[row < 0], size), minlength=self.blocks * BLOCK
+        ).astype(np.float64).reshape(self.blocks, BLOCK)
+        if skip is not None and skip in self.at_id:
+            part[divmod(self.at_id[skip], BLOCK)] = -np.inf
+        # sums in single precision may round, so bounds are widened by more than that
+        bound = part.max(1) + heavy @ self.most[long] + 1e-5
+        order = np.argsort(-bound, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1]):
+        for first in range(0, len(order), GROUP):
+            group = order[first : first + GROUP]
+            if len(best) == k:
+                group = group[bound[group] >= best[-1]]
+            if not len(group):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weight.tolist()):
-                if found := self.postings.get((t, b)):
-                    score[found[0]] += w * found[1]
-            here = np.flatnonzero(score > 0)
-            here = here[here + b * BLOCK != skip]
-            best_at = np.concatenate([best_at, here + b * BLOCK])
-            best = np.concatenate([best, np.round(score[here], 12)])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
+            cosine = part[group]
+            if len(long):
+                cosine = cosine + (heavy @ self.dense[np.ix_(long, group)].reshape(len(long), -1)).reshape(cosine.shape)
+            i, j = np.nonzero(cosine >= (best[-1] - 1e-6 if len(best) == k else 1e-6))
+            best_at = np.concatenate([best_at, group[i] * BLOCK + j])
+            best = np.concatenate([best, np.round(cosine[i, j], 6)])
+            chosen = np.lexsort((self.ids[best_at], -best))[:k]
+            best_at, best = best_at[chosen], best[chosen]
         return best_at, best
 
-    def raw(self, at: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def raw(self, text: str | None, own: int | None) -> tuple[float, np.ndarray, np.ndarray]:
         """(distance-weighted vote, neighbours, cosines)."""
-        near, cosine = self.nearest(at, weight, skip)
+        near, cosine = self.nearest(*self.vector(text), own)
         if not len(near):
             return self.empty_rate, near, cosine
-        vote = 1 / (0.05 + 1 - cosine) ** 2
-        vote = vote * cosine
+        vote = cosine / (1.05 - cosine) ** 2
         score = (vote @ self.toxic[near] + PRIOR_WEIGHT * self.empty_rate) / (vote.sum() + PRIOR_WEIGHT)
         return float(score), near, cosine
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        value, near, cosine = self.raw(*self.vector(text))
+    def score(self, text: str | None, own: int | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """``raw``, calibrated; ``own`` is the text's doc_id, whose label never enters its score."""
+        value, near, cosine = self.raw(text, own)
         if len(near) and self.calibration is not None:
             value = float(np.interp(value, *self.calibration))
         return min(1.0, max(0.0, value)), near, cosine
 
 
-def monotone(raw: np.ndarray, toxic: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray] | None:
+def monotone(raw: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Rising steps (score, share of toxic) fitted to equal shares of the examples."""
-    if len(raw) < 2 * steps:
+    steps = len(raw) // STEP_EXAMPLES
+    if steps < 2:
         return None
     order = np.argsort(raw, kind="stable")
     pools: list[list[float]] = []
     for part in np.array_split(order, steps):
-        # one example of each kind keeps the ends off 0 and 1
         pools.append([raw[part].sum(), toxic[part].sum(), len(part)])
         while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
     x = np.array([a / n for a, _, n in pools])
+    # half an example of each kind keeps the ends off 0 and 1
     y = np.array([(t + 0.5) / (n + 1) for _, t, n in pools])
     return x, np.maximum.accumulate(y)
 
@@ -158,9 +243,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows to learn from, ``most`` at most, held-out ones never.
+    """(doc_id, text, toxic) of the labelled documents to learn from, ``most`` at most, held-out ones never.
 
-    A doc_id labelled more than once is toxic if any of its labels says so.
+    A doc_id labelled more than once is toxic if any of its labels says so; of
+    rows that repeat a doc_id one stands for it.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -171,90 +257,76 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Da
         .limit(most)
     )
     # of bounded size: at most ``most`` pairs of numbers
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text"), "text")).alias("one")
+    return found.groupBy("doc_id").agg(one, F.max("toxic").alias("toxic")).select("doc_id", "one.text", "toxic")
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[str, list[int]] = {}
-        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            for f in {f for w in words(text.as_py()) for f in features(w)}:
-                seen.setdefault(f, [0, 0])[1 if toxic else 0] += 1
+        made = [bag(t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array([c for c, _ in seen.values()], pa.int64()), pa.array([t for _, t in seen.values()], pa.int64())],
-            ["feature", "clean", "toxic"],
+            [
+                batch.column("doc_id"),
+                batch.column("toxic"),
+                pa.array([len(a) for a, _ in made], pa.int64()),
+                pa.array([a.view(np.int64) for a, _ in made], pa.list_(pa.int64())),
+                pa.array([n for _, n in made], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "toxic", "size", "term", "tf"],
         )
 
 
-def vocabulary(labelled: DataFrame) -> list[tuple[str, int]]:
-    """(feature, examples with it), the strongest first: those far more often toxic than the examples at large.
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in column.chunks)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES, most_postings: int = MAX_POSTINGS) -> Model:
+    """Fit on at most ``most`` labelled documents; without labels of both kinds every score is the base rate.
 
-    Strength is the Chernoff exponent of seeing so many toxic examples by
-    chance; it must pay for the number of features looked at.
+    What comes to the driver is the sample's features, bounded by both
+    parameters: examples are taken in the order of their hashes while their
+    postings fit.  The calibration is scored by tasks.
     """
-    totals = labelled.agg(F.count("*"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0))).first()
-    n, bad = totals[0], totals[1] or 0
-    if not 0 < bad < n:
-        return []
-    base = bad / n
-    counts = (
-        labelled.select("text", F.col("toxic").cast("int"))
-        .mapInArrow(_count_features, "feature string, clean long, toxic long")
-        .groupBy("feature")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .withColumn("n", F.col("clean") + F.col("toxic"))
-        .where(F.col("n") >= MIN_EXAMPLES)
-    )
-    rate = F.col("toxic") / F.col("n")
-    part = lambda c, p: F.when(c > 0, c * F.log(c / F.col("n") / p)).otherwise(0.0)
-    strength = part(F.col("toxic"), base) + part(F.col("clean"), 1 - base)
-    ranked = counts.withColumn("strength", F.when(rate > base, strength).otherwise(0.0))
-    looked_at = ranked.agg(F.count("*")).first()[0]
-    least = math.log(max(looked_at, 1) / FALSE_FEATURE)
-    top = ranked.where(F.col("strength") >= least).orderBy(F.desc("strength"), "feature").limit(MAX_FEATURES)
-    return [(r["feature"], r["n"]) for r in top.select("feature", "n").collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES) -> Model:
-    """Fit on at most ``most`` labelled rows; without labels of both kinds every score is the base rate."""
+    spark = docs.sparkSession
     labelled = written(examples(docs, labels, most), "labelled")
-    chosen = vocabulary(labelled)
-    n = labelled.count()
-    idf = {f: (k, math.log((1 + n) / (1 + df)) + 1) for k, (f, df) in enumerate(chosen)}
-    shared = labelled.sparkSession.sparkContext.broadcast(idf)
+    bags = written(
+        labelled.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(
+            _bags, "doc_id long, toxic int, size long, term array<long>, tf array<long>"
+        ),
+        "bags",
+    )
+    sizes = bags.select("doc_id", "size").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, taken = 0, []
+    for r in sizes:
+        total += r["size"]
+        if total <= most_postings or not taken:
+            taken.append(r["doc_id"])
+    if len(taken) < len(sizes):
+        bags = bags.join(F.broadcast(spark.createDataFrame([(k,) for k in taken], "doc_id long")), "doc_id")
+    rows = bags.toArrow().sort_by("doc_id")
+    model = Model(
+        rows["doc_id"].to_numpy(),
+        (rows["toxic"].to_numpy() > 0).astype(np.float64),
+        np.repeat(np.arange(len(rows)), rows["size"].to_numpy()),
+        _flat(rows["term"]).view(np.uint64),
+        _flat(rows["tf"]),
+    )
+    shared = spark.sparkContext.broadcast(model)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, np.zeros(0), np.zeros(0), [], 0.0)
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [model.vector(t.as_py()) for t in batch.column("text")]
+            raw = [shared.value.raw(t.as_py(), k) for t, k in zip(batch.column("text"), batch.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("toxic"),
-                    pa.array([a.tolist() for a, _ in made], pa.list_(pa.int64())),
-                    pa.array([w.tolist() for _, w in made], pa.list_(pa.float64())),
-                ],
-                ["doc_id", "toxic", "at", "weight"],
+                [batch.column("toxic"), pa.array([r[0] for r in raw], pa.float64()), pa.array([len(r[1]) for r in raw], pa.int64())],
+                ["toxic", "raw", "near"],
             )
 
-    made = labelled.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(
-        vectors, "doc_id long, toxic int, at array<long>, weight array<double>"
-    )
-    rows = sorted(made.collect(), key=lambda r: (r["doc_id"], r["toxic"], r["at"]))
-    toxic = np.array([1.0 if r["toxic"] > 0 else 0.0 for r in rows])
-    blank = np.array([not r["at"] for r in rows], bool)
-    # examples without any feature: the share of toxic ones among them, smoothed
-    empty_rate = float((toxic[blank].sum() + 0.1) / (blank.sum() + 1)) if len(rows) else 0.0
-    index = [k for k, b in enumerate(blank) if not b]
-    model = Model(
-        idf,
-        np.array([rows[k]["doc_id"] for k in index], np.int64),
-        toxic[index],
-        [(np.array(rows[k]["at"], np.int64), np.array(rows[k]["weight"])) for k in index],
-        empty_rate,
-    )
-    raw = np.array([model.raw(*v, skip=k)[0] for k, v in enumerate(model.vectors)])
-    model.calibration = monotone(raw, model.toxic)
+    # rows are few, so they are dealt out to all cores
+    spread_out = labelled.select("doc_id", "text", F.col("toxic").cast("int")).repartition("doc_id")
+    got = spread_out.mapInArrow(scored, "toxic int, raw double, near long").toArrow()
+    found = got["near"].to_numpy() > 0
+    model.calibration = monotone(got["raw"].to_numpy()[found], (got["toxic"].to_numpy()[found] > 0).astype(np.float64))
     return model
 
 
@@ -265,17 +337,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score, predicted, evidence (doc_ids of the nearest examples) and their cosines, a row per row.
 
     Whole texts are scored; null and empty texts, and texts without any known
-    feature, get the rate of such examples and no evidence.  A null doc_id is
-    kept and not held out.  Rows may repeat, ties among neighbours go by
-    doc_id, other columns are ignored, no rows give none.  The model is of
-    bounded size (``MAX_EXAMPLES``, ``MAX_FEATURES``) and broadcast.
+    feature, get the rate of such examples and no evidence.  A document's own
+    label never enters its score.  A null doc_id is kept and not held out.
+    Rows may repeat, ties among neighbours go by doc_id, other columns are
+    ignored, no rows give none.  The model is of bounded size
+    (``MAX_EXAMPLES``, ``MAX_POSTINGS``) and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [m.score(t.as_py()) for t in batch.column("text")]
+            got = [m.score(t.as_py(), k) for t, k in zip(batch.column("text"), batch.column("doc_id").to_pylist())]
             value = np.array([g[0] for g in got], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -298,8 +371,9 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shared.value.score(t)[0] for t in texts])
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, ids in batches:
+            own = [None if pd.isna(k) else int(k) for k in ids]
+            yield pd.Series([shared.value.score(t, k)[0] for t, k in zip(texts, own)])
 
-    return docs.where(scored("text") < threshold)
+    return docs.where(scored("text", F.col("doc_id").cast("long")) < threshold)
