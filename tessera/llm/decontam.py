@@ -4,15 +4,16 @@ Documents and benchmark items become sequences of word hashes.  The CGK
 embedding walks over a sequence: step j emits the current word and moves on
 if bit j of the word's (walk-specific) hash is set, so two sequences that
 differ by an edit fall back into step by chance, and edit distance turns into
-Hamming distance between the emitted words.  Windows of an item's size class
-start at every ``STRIDE``-th word of a document and at every word of an item.
-Each of several tables samples a few embedding coordinates; windows equal on
-them are candidates.  Walks miss some edited and short items, so each item is
-also cut into one piece more than it may have edits: one piece at least is
-unedited in every stretch that counts, and is looked up at every word of a
-document, so that no pair is missed at any length.  A candidate is verified
-by exact edit distance between the item and the aligned stretch of the
-document.
+Hamming distance between the emitted words.  Windows are as long as the items:
+an item belongs to the largest class of ``sizes`` that it fills, and windows of
+that size start at every ``stride_of``-th word of a document and at as many
+first words of the item.  Each of several tables samples a few coordinates of
+the embedding; windows equal on them are candidates.  Walks miss some edited
+items, so each item is also cut into one piece more than it may have edits:
+one piece at least is unedited in every stretch that counts, and is looked up
+at every word of a document, so that no pair is missed at any length.  A
+candidate is verified by exact edit distance between the item and the aligned
+stretch of the document.
 """
 
 from __future__ import annotations
@@ -21,20 +22,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import _files
+from tessera.llm._tokens import spread
+from tessera.session import scratch, written
+
 SIMILARITY = 0.8
-#: Window start distance in documents; items are indexed from every start.
-STRIDE = 3
-#: Window sizes in words; an item belongs to the largest that it fills.
-SIZES = (12, 6, 3, 1)
+#: Ratio of one class of window sizes to the next.
+SIZE_RATIO = 1.25
+#: Window start distance in documents for windows of LONG_WINDOW words and more; items are indexed from as many starts.
+STRIDE = 4
+LONG_WINDOW = 12
 #: (steps of the walk a table may sample as a share of two per word, coordinates sampled), one row a table and walk.
-TABLES = ((0.4, 8), (0.5, 8), (0.75, 8), (1.0, 8))
+TABLES = ((0.35, 5), (0.85, 8))
 WALKS = 2
 SEED = 7
-#: Items in one broadcast block; larger benchmarks are searched block by block.
+#: Items in one block of the benchmark; a task holds one block's index at a time.
 BLOCK_ITEMS = 20_000
 #: Words of benchmark text in one block at most.
 BLOCK_WORDS = 2_000_000
@@ -49,6 +58,19 @@ def mix(h: np.ndarray, salt: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _M2
 
 
+def stride_of(size: int) -> int:
+    """Distance of window starts in documents; windows of few words start at every word."""
+    return STRIDE if size >= LONG_WINDOW else 1
+
+
+def class_of(n: int) -> int:
+    """Window size of an item of ``n`` words: the largest of 1, 2, 3, ... times ``SIZE_RATIO`` that leaves room for the starts."""
+    best, size = 1, 1
+    while size + stride_of(size) - 1 <= n:
+        best, size = size, max(size + 1, int(size * SIZE_RATIO))
+    return best
+
+
 def plan(size: int) -> list[list[tuple[int, list[int]]]]:
     """For every walk: (table number, coordinates) pairs for windows of ``size`` words."""
     rng = np.random.default_rng(SEED)
@@ -63,22 +85,30 @@ def plan(size: int) -> list[list[tuple[int, list[int]]]]:
     return walks
 
 
-def sketch(words: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(table number, keys) of the windows at ``starts``; ``words`` is padded by ``2 * size`` words at least."""
-    for w, tables in enumerate(plan(size)):
+def sketch(words: np.ndarray, starts: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(size, table number, keys) of the windows at ``starts``; ``words`` is padded by twice the largest size.
+
+    A walk does not know its window's size, so one serves all sizes.
+    """
+    for w in range(WALKS):
         moves = mix(words, w + 1)
         at = starts.copy()
-        keys = {t: np.full(len(starts), t + 1, np.uint64) for t, _ in tables}
-        for j in range(max(c[-1] for _, c in tables) + 1):
-            emitted = None
-            for t, chosen in tables:
-                if j in chosen:
-                    if emitted is None:
-                        emitted = words[at]
-                    keys[t] = (keys[t] ^ emitted) * _M1
-                    keys[t] ^= keys[t] >> np.uint64(31)
+        wanted: dict[int, list[tuple[int, int]]] = {}
+        keys = {}
+        for size in sizes:
+            for t, chosen in plan(size)[w]:
+                keys[size, t] = np.full(len(starts), t + 1 + 64 * size, np.uint64)
+                for j in chosen:
+                    wanted.setdefault(j, []).append((size, t))
+        for j in range(max(wanted) + 1):
+            if j in wanted:
+                emitted = words[at]
+                for name in wanted[j]:
+                    key = (keys[name] ^ emitted) * _M1
+                    keys[name] = key ^ (key >> np.uint64(31))
             at += ((moves[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-        yield from keys.items()
+        for (size, t), key in keys.items():
+            yield size, t, key
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -138,30 +168,27 @@ def fit(item: np.ndarray, words: np.ndarray, most: int) -> tuple[int, int] | Non
 
 @dataclass
 class Index:
-    """The LSH tables and the pieces of a block of items."""
+    """The LSH tables and, but where ``pieces_too`` is false, the pieces of a block of items."""
 
     items: list[tuple[object, np.ndarray]]
     similarity: float
+    pieces_too: bool = True
 
     def __post_init__(self) -> None:
-        self.classes = {}
         self.distinct = [set(w.tolist()) for _, w in self.items]
-        for size in SIZES:
-            bigger = min([s for s in SIZES if s > size], default=1 << 60)
-            mine = [k for k, (_, w) in enumerate(self.items) if size <= len(w) < bigger]
-            if not mine:
-                continue
-            keys: dict[int, list] = {}
-            for k in mine:
-                w = self.items[k][1]
-                padded = np.concatenate([w, np.zeros(2 * size + 8, np.uint64)])
-                starts = np.arange(len(w) - size + 1)
-                for t, found in sketch(padded, starts, size):
-                    keys.setdefault(t, []).append((found, np.full(len(starts), k), starts))
-            self.classes[size] = {t: _table(parts) for t, parts in keys.items()}
-        pieces: dict[int, list] = {}
+        self.length = np.array([len(w) for _, w in self.items], np.int64)
+        self.most = np.array([edits_of(n, self.similarity) for n in self.length.tolist()], np.int64)
+        keys: dict[tuple[int, int], list] = {}
         for k, (_, w) in enumerate(self.items):
-            n = min(edits_of(len(w), self.similarity) + 1, len(w))
+            size = class_of(len(w))
+            padded = np.concatenate([w, np.zeros(2 * size + 8, np.uint64)])
+            starts = np.arange(min(stride_of(size), len(w) - size + 1))
+            for _, t, found in sketch(padded, starts, [size]):
+                keys.setdefault((size, t), []).append((found, np.full(len(starts), k), starts))
+        self.tables = {name: _table(parts) for name, parts in keys.items()}
+        pieces: dict[int, list] = {}
+        for k, (_, w) in enumerate(self.items if self.pieces_too else []):
+            n = min(int(self.most[k]) + 1, len(w))
             cuts = [len(w) * i // n for i in range(n + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(b - a, []).append((grams(w[a:b], b - a), np.array([k]), np.array([a])))
@@ -172,11 +199,34 @@ class Index:
         for size, table in self.pieces.items():
             keys = grams(words, size)
             yield table, keys, np.arange(len(keys))
-        for size, tables in self.classes.items():
-            padded = np.concatenate([words, np.zeros(2 * size + 8, np.uint64)])
-            starts = np.arange(0, len(words), min(STRIDE, size))
-            for t, keys in sketch(padded, starts, size):
-                yield tables[t], keys, starts
+        for stride in (1, STRIDE):
+            sizes = sorted({s for s, _ in self.tables if stride_of(s) == stride})
+            if sizes:
+                padded = np.concatenate([words, np.zeros(2 * sizes[-1] + 8, np.uint64)])
+                starts = np.arange(0, len(words), stride)
+                for size, t, keys in sketch(padded, starts, sizes):
+                    yield self.tables[size, t], keys, starts
+
+    def candidates(self, words: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
+        """(document, item, origin) rows, sorted; matches of one alignment share a row."""
+        found = [np.zeros((0, 4), np.int64)]
+        for (key, item, start, bits), keys, starts in self._lookups(words):
+            maybe = np.flatnonzero(bits[(keys >> np.uint64(44)).astype(np.int64)])
+            low = np.searchsorted(key, keys[maybe], "left")
+            n = np.searchsorted(key, keys[maybe], "right") - low
+            # matches of a piece that many items share are made a slice at a time
+            ends = np.cumsum(n)
+            first = 0
+            while first < len(n):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE_MATCHES, "right")))
+                posting = spread(low[first:last], n[first:last])
+                at = np.repeat(starts[maybe[first:last]], n[first:last])
+                own = item[posting]
+                origin = at - start[posting]
+                rows = np.stack([doc_of[at], own, origin // (self.most[own] + 1), origin], 1)
+                found.append(_distinct(rows))
+                first = last
+        return _distinct(np.concatenate(found))[:, [0, 1, 3]]
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edits, word offset of the stretch's end) for every contaminated pair.
@@ -186,60 +236,85 @@ class Index:
         """
         doc_of = np.repeat(np.arange(len(bounds)), np.diff(bounds, prepend=0))
         begin = np.concatenate([[0], bounds[:-1]]).astype(np.int64)
-        distinct = self.distinct
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        tried = set()
-        for (key, item, start, bits), keys, starts in self._lookups(words):
-            maybe = np.flatnonzero(bits[(keys >> np.uint64(44)).astype(np.int64)])
-            low = np.searchsorted(key, keys[maybe], "left")
-            high = np.searchsorted(key, keys[maybe], "right")
-            for m in np.flatnonzero(high > low).tolist():
-                at = int(starts[maybe[m]])
-                doc = int(doc_of[at])
-                for h in range(int(low[m]), int(high[m])):
-                    k, own = int(item[h]), self.items[int(item[h])][1]
-                    most = edits_of(len(own), self.similarity)
-                    if not most and (doc, k) in best:
-                        continue
-                    origin = at - int(start[h])
-                    # matches of one alignment share a stretch: it is verified once
-                    if (doc, k, origin // (most + 1)) in tried:
-                        continue
-                    tried.add((doc, k, origin // (most + 1)))
-                    a = max(int(begin[doc]), origin - 2 * most - 1)
-                    b = min(int(bounds[doc]), origin + len(own) + 2 * most + 1)
-                    # every distinct word that the stretch lacks costs an edit
-                    if len(distinct[k].difference(words[a:b].tolist())) > most:
-                        continue
-                    found = fit(own, words[a:b], most)
-                    if found and found < best.get((doc, k), (1 << 30, 0)):
-                        best[doc, k] = found[0], a + found[1] - int(begin[doc])
+        rows = self.candidates(words, doc_of)
+        most, length = self.most[rows[:, 1]], self.length[rows[:, 1]]
+        low = np.maximum(begin[rows[:, 0]], rows[:, 2] - 2 * most - 1)
+        high = np.minimum(bounds[rows[:, 0]], rows[:, 2] + length + 2 * most + 1)
+        for doc, k, a, b, least in zip(rows[:, 0].tolist(), rows[:, 1].tolist(), low.tolist(), high.tolist(), most.tolist()):
+            if best.get((doc, k), (1, 0))[0] == 0:
+                continue
+            # every distinct word that the stretch lacks costs an edit
+            if len(self.distinct[k].difference(words[a:b].tolist())) > least:
+                continue
+            found = fit(self.items[k][1], words[a:b], least)
+            if found and found < best.get((doc, k), (1 << 30, 0)):
+                best[doc, k] = found[0], a + found[1] - int(begin[doc])
         for (doc, k), (edits, end) in sorted(best.items()):
             yield doc, k, edits, end
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows without those that repeat the first three columns."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+    return rows[new]
+
+
 def words_of(text: str = "text"):
     """Array of 64-bit hashes of the lower-cased words (runs of letters and digits) of a whole text."""
     split = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD)
     return F.transform(F.filter(split, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[object, np.ndarray]]]:
-    block, held = [], 0
-    for row in items.select("item_id", words_of().alias("words")).toLocalIterator():
-        w = np.array(row["words"], np.int64).view(np.uint64)
-        if len(w):
-            block.append((row["item_id"], w))
-            held += len(w)
-        if len(block) >= BLOCK_ITEMS or held >= BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
 _HITS = "doc_id long, item_id long, edits int, item_words int, end_word long"
 SLICE_WORDS = 1_000_000
+SLICE_MATCHES = 2_000_000
+#: Words of documents held while the blocks of a benchmark of several blocks pass by.
+HELD_WORDS = 16_000_000
+_last: dict[tuple, Index] = {}
+
+
+@dataclass
+class Blocks:
+    """Items as word hashes in the shared folder, in blocks of bounded size."""
+
+    folder: str
+    count: int
+    similarity: float
+
+    def index(self, k: int) -> Index:
+        """The index of a block; a worker keeps the last one."""
+        name = (self.folder, k, self.similarity)
+        if name not in _last:
+            _last.clear()
+            system, path = _files.opened(f"{self.folder}/block={k}")
+            items = []
+            for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    with system.open_input_file(info.path) as file:
+                        rows = pq.ParquetFile(file).read()
+                    items += [
+                        (i, np.array(w, np.int64).view(np.uint64))
+                        for i, w in zip(rows["item_id"].to_pylist(), rows["words"].to_pylist())
+                    ]
+            _last[name] = Index(items, self.similarity)
+        return _last[name]
+
+
+def store_items(items: DataFrame, similarity: float = SIMILARITY) -> Blocks:
+    """Write the items that have words (item_id, text) as blocks of about ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words at most.
+
+    Only two sums come to the driver, however many items there are.
+    """
+    rows = written(items.select(F.col("item_id").cast("long"), words_of().alias("words")).where(F.size("words") > 0), "items")
+    n, words = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    count = max(-(-n // BLOCK_ITEMS), -(-words // BLOCK_WORDS))
+    folder = scratch(items.sparkSession, "item-blocks")
+    block = F.pmod(F.xxhash64("item_id", "words", F.monotonically_increasing_id()), F.lit(max(1, count))).cast("int")
+    rows.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(folder)
+    return Blocks(folder, count, similarity)
 
 
 def contaminations(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -252,51 +327,76 @@ def contaminations(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
     texts among them, match nothing; null ids are kept; rows that repeat give
     a row each.  Other columns are ignored.
 
-    The benchmark is taken block by block; a block is broadcast and bounded by
-    ``BLOCK_ITEMS`` and ``BLOCK_WORDS``.  Documents are scanned where they
-    lie, without a shuffle, once a block.
+    Documents are scanned once, where they lie, without a shuffle.  A
+    benchmark of several blocks passes by a bounded run of documents block by
+    block, so a task holds one block's index at a time.
     """
-    spark = docs.sparkSession
+    blocks = store_items(items, similarity)
     rows = docs.select(F.col("doc_id").cast("long"), words_of().alias("words"))
-    out = spark.createDataFrame([], _HITS)
-    for block in _blocks(items.select(F.col("item_id").cast("long"), "text")):
-        shared = spark.sparkContext.broadcast(block)
-        out = out.unionByName(rows.mapInArrow(_scan(shared, similarity), _HITS))
-    return out.withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
-
-
-def _scan(shared, similarity: float):
+    return rows.mapInArrow(_scan(blocks), _HITS).withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches gathered to about ``most`` words, so that a block is opened once for many documents."""
+    held, words = [], 0
+    for batch in batches:
+        held.append(batch)
+        words += len(batch.column("words").flatten())
+        if words >= most:
+            yield pa.Table.from_batches(held)
+            held, words = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _hits(index: Index, lists: pa.ListArray) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+    """(number of the first document, hits) of slices of bounded size."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_WORDS, "right")) - 1)
+        yield first, list(index.search(flat[ends[first] : ends[last]], ends[first + 1 : last + 1] - ends[first]))
+        first = last
+
+
+def _scan(blocks: Blocks):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, similarity)
-        ids = [i for i, _ in index.items]
-        sizes = [len(w) for _, w in index.items]
-        for batch in batches:
-            lists = batch.column("words")
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            first = 0
-            while first < len(batch):
-                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_WORDS, "right")) - 1)
-                words = flat[ends[first] : ends[last]]
-                hits = list(index.search(words, ends[first + 1 : last + 1] - ends[first]))
-                if hits:
-                    doc, item, edits, end = map(np.array, zip(*hits))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").take(pa.array(doc + first)),
-                            pa.array([ids[k] for k in item], pa.int64()),
-                            pa.array(edits.astype(np.int32)),
-                            pa.array([sizes[k] for k in item], pa.int32()),
-                            pa.array(end.astype(np.int64)),
-                        ],
-                        ["doc_id", "item_id", "edits", "item_words", "end_word"],
-                    )
-                first = last
+        for run in _runs(batches, 1 if blocks.count <= 1 else HELD_WORDS):
+            for k in range(blocks.count):
+                index = blocks.index(k)
+                for batch in run.to_batches():
+                    for first, hits in _hits(index, batch.column("words")):
+                        if hits:
+                            doc, item, edits, end = map(np.array, zip(*hits))
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    batch.column("doc_id").take(pa.array(doc + first)),
+                                    pa.array([index.items[j][0] for j in item], pa.int64()),
+                                    pa.array(edits.astype(np.int32)),
+                                    pa.array(index.length[item].astype(np.int32)),
+                                    pa.array(end.astype(np.int64)),
+                                ],
+                                ["doc_id", "item_id", "edits", "item_words", "end_word"],
+                            )
 
     return scan
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows with a null doc_id stay, all columns are kept."""
-    hit = contaminations(docs, items, similarity).select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no benchmark item, with all columns.
+
+    Every row is judged by itself, where it lies: ids may be null or repeat.
+    """
+    blocks = store_items(items, similarity)
+
+    @F.pandas_udf("boolean")
+    def holds(words: pd.Series) -> pd.Series:
+        lists = pa.array(words, pa.list_(pa.int64()))
+        found = np.zeros(len(words), bool)
+        for k in range(blocks.count):
+            for first, hits in _hits(blocks.index(k), lists):
+                found[[first + doc for doc, *_ in hits]] = True
+        return pd.Series(found)
+
+    return docs.where(~holds(words_of()))

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import _files
+from tessera.llm import _files, _rows
 from tessera.session import scratch, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -179,8 +179,7 @@ def write_archives(
     is: where a shuffle makes them they are stored first.  A difference would
     be found by the digests and is an error.
     """
-    if "Exchange" in pages._jdf.queryExecution().executedPlan().toString():
-        pages = written(pages.select("page_id", "url", "html"), "pages")
+    pages = _rows.stored(pages.select("page_id", "url", "html"))
     payload = F.coalesce("html", F.lit(""))
     located = pages.select(
         F.monotonically_increasing_id().alias("place"), F.col("page_id").cast("long"), "url", "html", digest(payload).alias("sha")

@@ -44,6 +44,38 @@ def edited(rng, words, vocabulary, edits):
     return w
 
 
+def test_windows_are_as_long_as_items():
+    for n in range(1, 400):
+        size = decontam.class_of(n)
+        assert size + decontam.stride_of(size) - 1 <= n and (n < 20 or size >= 0.6 * n) and (n < 60 or size >= 0.75 * n)
+
+
+@pytest.mark.parametrize("edits,recall", [(0, 1.0), (1, 0.9), (2, 0.8)])
+def test_recall_of_the_walks_alone(edits, recall):
+    rng = random.Random(5)
+    mixed = lambda words: np.array(words, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    items = [[rng.randrange(1, 3000) for _ in range(rng.randrange(12, 60))] for _ in range(150)]
+    index = decontam.Index([(k, mixed(w)) for k, w in enumerate(items)], 0.8, pieces_too=False)
+    docs = []
+    for item in items:
+        body = [rng.randrange(3000, 6000) for _ in range(90)]
+        at = rng.randrange(40)
+        docs.append(body[:at] + edited(rng, item, list(range(1, 3000)), edits) + body[at:])
+    hits = {(d, k) for d, k, *_ in index.search(mixed([w for d in docs for w in d]), np.cumsum([len(d) for d in docs]))}
+    assert len(hits & {(k, k) for k in range(150)}) >= recall * 150
+
+
+def test_a_benchmark_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 3)
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(14)]
+    docs = spark.createDataFrame([(k, "a b " + t + " c") for k, t in items] + [(99, "nothing here")], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.store_items(bench).count == 5
+    got = decontam.contaminations(docs, bench)
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in got.collect()) == [(k, k, 0) for k in range(14)]
+    assert [r.doc_id for r in decontam.clean_documents(docs, bench).collect()] == [99]
+
+
 @pytest.mark.parametrize("share,recall", [(0.0, 1.0), (0.05, 0.99), (0.1, 0.97), (0.2, 0.9)])
 def test_recall_on_edited_passages(share, recall):
     rng = random.Random(3)
@@ -86,6 +118,9 @@ def test_documents_and_items_of_every_kind(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
     left = decontam.clean_documents(docs, items)
     assert left.columns == docs.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, k) for k in (0, 1, 2, 3, 7)] + [(True, 0)]
+    # a null id does not save a row that holds an item
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, k) for k in (0, 1, 2, 3, 7)]
+    twins = spark.createDataFrame([(1, item), (1, "clean"), (None, "clean"), (None, "clean")], "doc_id long, text string")
+    assert sorted(r.text for r in decontam.clean_documents(twins, items).collect()) == ["clean"] * 3
     assert decontam.contaminations(docs.limit(0), items).collect() == []
     assert decontam.contaminations(docs, items.limit(0)).collect() == []
