@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import _rows
 from tessera.plans.components import connected_components
 from tessera.session import written
 
@@ -132,11 +133,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def representatives(docs: DataFrame, words: int) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each near-duplicate group does.
+    """The rows of ``docs`` that stay when one row of each near-duplicate group does.
 
-    The document with the smallest doc_id stays; rows whose doc_id is null
-    stay too.  All columns are kept.
+    The row with the smallest doc_id stays, one without a doc_id only where no
+    row of its group has one; of rows that repeat that doc_id the first does.
+    All columns are kept.
     """
-    groups = near_duplicates(docs, words)
-    leave = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(leave, "doc_id", "left_anti").select(docs.columns)
+    rows = _rows.placed(docs, "__place")
+    # a place is unique, so it names a row where doc_id does not
+    places = rows.select(F.col("__place").alias("doc_id"), "text")
+    ids = rows.select("__place", F.col("doc_id").cast("long").alias("doc_id"))
+    grouped = near_duplicates(places, words).select(F.col("doc_id").alias("__place"), "component_id").join(ids, "__place")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__place")
+    stay = grouped.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.__place").alias("__place"))
+    return rows.join(stay, "__place", "left_semi").select(docs.columns)
