@@ -23,6 +23,7 @@ ROLES = (
     ("search", ("oai-searchbot", "claude-searchbot", "perplexitybot", "googlebot", "bingbot")),
     ("training", ("gptbot", "claudebot", "anthropic-ai", "google-extended", "ccbot")),
 )
+# Pieces of other clients' names.
 OTHER_BOT = "bot|crawler|spider|^curl/|^wget/|python-requests|python-httpx|python-urllib|aiohttp|go-http-client|node-fetch|axios/|okhttp"
 # Hosts by kind, each with its subdomains.
 ASSISTANTS = ("chatgpt.com", "chat.openai.com", "perplexity.ai", "claude.ai", "gemini.google.com", "copilot.microsoft.com")
@@ -84,18 +85,25 @@ def referrer(c: Column | str) -> Column:
     )
 
 
-def _after_mark(url: Column) -> Column:
-    return F.regexp_extract(url, "\\?([^#]*)", 1)
+def _tagged(url: Column, name: str) -> Column:
+    """Every value that the url's query gives ``name``: decoded, trimmed, in lower case."""
+    query = F.regexp_extract(url, "^[^?#]*\\?([^#]*)", 1)
+    plain = lambda c: F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    pairs = F.filter(F.split(query, "&"), lambda p: plain(F.substring_index(p, "=", 1)) == name)
+    values = F.transform(pairs, lambda p: F.lower(F.trim(plain(F.regexp_extract(p, "^[^=]*=(.*)$", 1)))))
+    # a url without a query has nothing to look through
+    return F.when(F.contains(url, F.lit("?")), values)
 
 
 def email_tag(url: Column) -> Column:
-    return F.rlike(_after_mark(url), F.lit("(?i)(?:^|&)utm_medium=(?:%20|\\+)*email(?:%20|\\+)*(?:&|$)"))
+    """A campaign medium of the url is email."""
+    return F.coalesce(F.array_contains(_tagged(url, "utm_medium"), "email"), F.lit(False))
 
 
 def assistant_tag(url: Column) -> Column:
-    """The assistant host named by ``utm_source`` on a landing url, else null."""
-    named = F.lower(F.regexp_extract(_after_mark(url), "(?:^|&)utm_source=([^&]*)", 1))
-    return F.when(host_in(named, ASSISTANTS), named)
+    """The first assistant host among the url's campaign sources, without a closing dot; else null."""
+    hosts = F.transform(_tagged(url, "utm_source"), lambda v: F.regexp_replace(v, "\\.+$", ""))
+    return F.get(F.filter(hosts, lambda h: host_in(h, ASSISTANTS)), 0)
 
 
 def source(landing: Column | str, ref: Column | str) -> Column:

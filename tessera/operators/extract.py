@@ -174,12 +174,24 @@ def money_evidence(claims: DataFrame, markers: dict[str, tuple[str, ...]], caps:
     return claims.withColumn("proven", F.coalesce(stated & own & ~rival & (F.col("amount") <= cap), F.lit(False)))
 
 
-# Entity types by word, the first closed list they belong to.
+# The closed list of entity types, in its order.
+ENTITY_TYPES = (
+    "incorporated-society", "charitable-trust", "marae", "school", "club",
+    "informal", "company", "individual", "local-authority", "iwi-hapu",
+)
+# Words that name each of them in a text.
 ENTITIES = {
-    "charity": r"charit(?:y|ies|able trusts?)", "incorporated-society": r"incorporated societ(?:y|ies)|societies", "school": r"schools?|early learning centres?",
-    "council": r"(?:local )?councils?|local authorit(?:y|ies)", "individual": r"individuals?|sole traders?", "sports-club": r"(?:sports )?clubs?", "business": r"business(?:es)?|compan(?:y|ies)",
-    "iwi": r"iwi|hap[uū]",
-}
+    "incorporated-society": r"(?<!un)incorporated societ(?:y|ies)|(?<!unincorporated )societies",
+    "charitable-trust": r"charit(?:y|ies|able trusts?)|trusts|foundations",
+    "marae": r"marae",
+    "school": r"schools?|kura|early (?:learning|childhood) centres?",
+    "club": r"clubs?",
+    "informal": r"unincorporated (?:groups?|societies|associations?)|(?:informal|unregistered) groups?",
+    "company": r"business(?:es)?|compan(?:y|ies)",
+    "individual": r"individuals?|sole traders?",
+    "local-authority": r"(?:local )?councils?|local authorit(?:y|ies)",
+    "iwi-hapu": r"iwi|hap[uū]",
+}
 _OPEN = re.compile(r"\b(?:any|all) (?:legal )?(?:entit(?:y|ies)|organisations?)\b")
 _NOT = re.compile(r"\b(?:not|cannot|excluding|except|other than|no)\b")
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, text
-from tessera.operators import filters, resolve
+from tessera.operators import extract, filters, publish, resolve
+from tessera.session import written
 
 
 def read_pool(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,10 +36,10 @@ def append_usage(usage: DataFrame, path: str) -> None:
 
 
 def seal(evidence: DataFrame, run: str, order: list[str], fields: list[str], already: int = 0) -> DataFrame:
-    """SRC-17: add ``evidence_id`` (EV-0001 on within a run) and ``hash``, SHA-256 over the sorted fields as JSON."""
+    """SRC-17: add ``evidence_id`` (EV-0001 on within a run, more digits beyond 9,999) and ``hash``, SHA-256 over the sorted fields as JSON."""
     seq = F.row_number().over(Window.partitionBy(run).orderBy(*order)) + already
     sealed = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
-    return evidence.withColumns({"evidence_id": F.concat(F.lit("EV-"), F.lpad(seq.cast("string"), 4, "0")), "hash": F.sha2(sealed, 256)})
+    return evidence.withColumns({"evidence_id": F.concat(F.lit("EV-"), F.lpad(seq.cast("string"), F.greatest(F.lit(4), F.length(seq.cast("string"))), F.lit("0"))), "hash": F.sha2(sealed, 256)})
 
 
 def tampered(evidence: DataFrame, fields: list[str]) -> DataFrame:
@@ -103,16 +104,59 @@ def subscriber_counts(outcomes: DataFrame) -> DataFrame:
     return last.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def _merged(previous: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of both, published ones flagged; survivors of their clusters)."""
+    rows = previous.withColumn("published", F.lit(True)).unionByName(candidates.withColumn("published", F.lit(False)))
+    return rows, resolve.survivors(rows, resolve.clusters(rows, resolve.edges(rows)))
+
+
 def publish_cumulative(previous: DataFrame, candidates: DataFrame, today: Column, zone: str) -> DataFrame:
-    """CDC-01: the cumulative dataset after a publish: gate, cluster, survivors, status re-derived.
+    """CDC-01: the cumulative dataset after a publish: gate, cluster, survivors, entities and status re-derived.
 
     ``previous`` and ``candidates`` have the model's columns with ``pos``
     unique over both.  Rows that the gate holds are left out; published rows
     stay whatever the run brought.
     """
-    fresh = candidates.where(filters.held_reason().isNull()).withColumn("published", F.lit(False))
-    rows = previous.withColumn("published", F.lit(True)).unionByName(fresh)
-    kept = resolve.survivors(rows, resolve.clusters(rows, resolve.edges(rows)))
-    facts = rows.select(F.col("pos").alias("kept_pos"), "title", "funder", "deadline", "deadline_state", "verified_at", "amount_max")
-    out = kept.join(facts, "kept_pos")
+    rows, kept = _merged(previous, candidates.where(filters.held_reason().isNull()))
+    facts = rows.select(F.col("pos").alias("kept_pos"), "title", "funder", "deadline", "deadline_state", "verified_at", "amount_max", "eligibility")
+    out = extract.entities(kept.join(facts, "kept_pos")).drop("eligibility")
     return out.withColumn("status", dates.status_as_of("deadline_state", "deadline", "verified_at", today, zone))
+
+
+class PublishBlocked(Exception):
+    """Funders that must appear have no publishable row."""
+
+
+def publish_pool(
+    spark: SparkSession, path: str, version: int, previous: DataFrame, candidates: DataFrame, expected: DataFrame, today: Column, zone: str,
+    force: bool = False, dry_run: bool = False,
+) -> dict[str, DataFrame]:
+    """CDC-01, AGG-12: publish a run: the tables ``pool``, ``held``, ``must_appear`` and ``counts``, also returned.
+
+    ``previous`` has ``status`` beside the model's columns.  A funder of
+    ``expected`` (name) without a publishable row blocks the publish unless
+    ``force``: then ``held`` alone is written, below ``blocked``, and
+    ``PublishBlocked`` names the funders.  A dry run writes nothing.
+    """
+    held = candidates.withColumn("reason", filters.held_reason()).where("reason IS NOT NULL").select("pos", "title", "funder", "deadline_state", "reason")
+    passed = candidates.where(filters.held_reason().isNull())
+    must = resolve.must_appear(passed, expected)
+    pool = written(publish_cumulative(previous.drop("status"), candidates, today, zone), "pool")
+    was = previous.select("id", F.col("status").alias("was"))
+    now = pool.join(was, "id", "left")
+    count = lambda c, n: F.count_if(c).alias(n)
+    totals = now.agg(
+        F.count("*").alias("published_total"), count(F.col("was").isNull(), "new"), count((F.col("status") == "closed") & (F.col("was") != "closed"), "closed"),
+        (F.sum("merged") - F.count("*")).alias("merges"), *(count(F.col("status") == s, f"{s}_total") for s in ("live", "stale", "closed")),
+    )
+    counts = candidates.agg(F.count("*").alias("candidates")).crossJoin(held.agg(F.count("*").alias("held"))).crossJoin(totals)
+    tables = {"pool": pool, "held": held, "must_appear": must, "counts": counts}
+    if dry_run:
+        return tables
+    # the register names tens of funders that must appear
+    missing = [r["name"] for r in must.where("NOT present").orderBy("name").collect()]
+    if missing and not force:
+        held.write.mode("overwrite").parquet(f"{path}/blocked/version={version}")
+        raise PublishBlocked(", ".join(missing))
+    publish.publish(spark, path, tables, version)
+    return tables

@@ -74,6 +74,45 @@ def shared_words(left: DataFrame, right: DataFrame, least: int, letters: int = 4
     return a.join(b, "word").groupBy("left_id", "right_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def case_evidence(cases: DataFrame, evidence: DataFrame, least: int = 2, letters: int = 4, stop: tuple[str, ...] = ()) -> DataFrame:
+    """JON-06: (case_id, evidence_id) of the evidence a case lists, or that shares ``least`` words with its title.
+
+    ``cases`` have case_id, title and listed (array of evidence ids),
+    ``evidence`` has evidence_id and text; listed ids without evidence are left out.
+    """
+    named = cases.select("case_id", F.explode("listed").alias("evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_semi")
+    left = cases.select(F.col("case_id").alias("left_id"), F.col("title").alias("left_text"))
+    right = evidence.select(F.col("evidence_id").alias("right_id"), F.col("text").alias("right_text"))
+    met = shared_words(left, right, least, letters, stop).select(F.col("left_id").alias("case_id"), F.col("right_id").alias("evidence_id"))
+    return named.select("case_id", "evidence_id").unionByName(met).distinct()
+
+
+def supplement(rows: DataFrame, evidence: DataFrame, least_rows: int = 4, overlap: int = 3) -> DataFrame:
+    """JON-07: (report, seq, pos, title, added): rows of every report, short ones with evidence that says something new.
+
+    Both have report, pos and title.  A report of fewer than ``least_rows``
+    rows takes the evidence whose title shares fewer than ``overlap`` words
+    with each of its rows; rows are numbered anew, own ones first.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("title"), "[^a-z0-9]+"), lambda w: w != ""))
+    short = evidence.join(rows.groupBy("report").agg(F.count("*").alias("__n")), "report", "left").where(F.coalesce("__n", F.lit(0)) < least_rows)
+    said = rows.select("report", F.col("pos").alias("__own"), F.explode(words).alias("__w"))
+    met = short.select("report", "pos", F.explode(words).alias("__w")).join(said, ["report", "__w"]).groupBy("report", "pos", "__own").count()
+    fresh = short.join(met.where(F.col("count") >= overlap).select("report", "pos").distinct(), ["report", "pos"], "left_anti")
+    every = rows.select("report", "pos", "title", F.lit(False).alias("added")).unionByName(fresh.select("report", "pos", "title", F.lit(True).alias("added")))
+    return every.withColumn("seq", F.row_number().over(Window.partitionBy("report").orderBy("added", "pos")))
+
+
+def existing_case(listings: DataFrame, cases: DataFrame, least: int = 2, prefix_words: int = 5, letters: int = 4) -> DataFrame:
+    """JON-08: (left_id, right_id): the case that a listing already has: its slug starts with the title's first words, else ``least`` words are shared; the lowest id of the better kind."""
+    head = lambda c: F.array_join(F.slice(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""), 1, prefix_words), "-")
+    a = listings.select("left_id", head("left_text").alias("__h")).where("__h <> ''")
+    b = cases.select("right_id", head("right_text").alias("__h"))
+    same = a.join(b, "__h").select("left_id", "right_id", F.lit(0).alias("stage"))
+    alike = shared_words(listings, cases, least, letters).select("left_id", "right_id", F.lit(1).alias("stage"))
+    return same.unionByName(alike).groupBy("left_id").agg(F.min_by("right_id", F.struct("stage", "right_id")).alias("right_id"))
+
+
 def related(rows: DataFrame, limit: int = 5) -> DataFrame:
     """JON-10: (id, other_id, shared, rank): live rows sharing tags, most first, then by deadline order.
 

@@ -192,23 +192,27 @@ def admission_log(spark, sf_dir):
     return states.admission(rows, 2, 86_400).select("event_id", "key", "allowed")
 
 
-@query("""WITH c AS (SELECT l_suppkey AS run, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS s FROM lineitem WHERE l_quantity > 0)
-SELECT run, l_orderkey, l_linenumber, s <= 5000 AS fits FROM c WHERE s <= 5000""")
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey AS run, l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem),
+r AS (SELECT run, k, a <= 5000 AS admitted, CASE WHEN a <= 5000 THEN a ELSE 0 END AS s FROM e WHERE k = 1
+ UNION ALL SELECT e.run, e.k, r.s + e.a <= 5000, CASE WHEN r.s + e.a <= 5000 THEN r.s + e.a ELSE r.s END FROM r JOIN e ON e.run = r.run AND e.k = r.k + 1)
+SELECT run, l_orderkey, l_linenumber, admitted FROM r JOIN e USING (run, k)""")
 def spend_cap(spark, sf_dir):
-    """STM-08 without refunds: calls that fit a run's cap one after the other, up to the first that does not."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
-    spent = rows.withColumn("s", F.sum("l_quantity").over(w)).where("s <= 5000")
-    return spent.select(F.col("l_suppkey").alias("run"), "l_orderkey", "l_linenumber", (F.col("s") <= 5000).alias("fits"))
+    """STM-08: every line reserves its quantity from its supplier's cap; later and smaller ones may still fit after a refusal."""
+    order = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"))
+    calls = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("run"), order.cast("double").alias("ts"), order.alias("event_id"), order.cast("string").alias("request"),
+        F.lit("reserve").alias("kind"), F.col("l_quantity").cast("double").alias("amount"), "l_orderkey", "l_linenumber",
+    )
+    return states.spend_cap(calls, 5000.0).select("run", "l_orderkey", "l_linenumber", "admitted")
 
 
-@query("""SELECT 'u' || user_id || '@example.com' AS email FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')""")
+@query("""SELECT 'u' || user_id || '@example.com' AS email FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0)""")
 def recipients(spark, sf_dir):
     """STM-06."""
     events = table(spark, sf_dir, "events")
     address = F.concat(F.lit("u"), "user_id", F.lit("@example.com")).alias("email")
     subscribers = events.where("user_id % 2 = 0").select(address, F.lit("2024-01-01").alias("confirmed_at"), F.lit(None).cast("string").alias("unsubscribed_at")).distinct()
-    sent = events.where("event_type = 'purchase'").select(address, F.lit("p1").alias("publish_id"))
+    sent = events.where("event_type = 'purchase' AND user_id % 3 = 0").select(address, F.lit("p1").alias("publish_id"))
     return states.recipients(subscribers, sent, "p1").select("email")
 
 

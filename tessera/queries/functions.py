@@ -175,11 +175,10 @@ def title_stems(spark, sf_dir):
     return view(spark, sf_dir, "v_opp").select("id", text.title_stems("title", ("programme", "the")).alias("stems"))
 
 
-@query("""SELECT id, contains(regexp_replace(lower(summary), '[,\\s]', '', 'g'), amount_max::VARCHAR) OR amount_max IS NULL AS stated FROM v_opp WHERE coalesce(amount_max, 1) % 1000 <> 0""".replace("\\\\", "\\"))
+@query("""SELECT id, contains(regexp_replace(lower(summary), '[,\\s]', '', 'g'), amount_max::VARCHAR) OR amount_max IS NULL AS stated FROM v_opp""".replace("\\\\", "\\"))
 def figures_stated(spark, sf_dir):
     """STR-27."""
-    rows = view(spark, sf_dir, "v_opp").where("coalesce(amount_max, 1) % 1000 <> 0")
-    return rows.select("id", text.figures_in("summary", F.col("amount_max")).alias("stated"))
+    return view(spark, sf_dir, "v_opp").select("id", text.figures_in("summary", F.col("amount_max")).alias("stated"))
 
 
 @query("""WITH s AS (SELECT doc_id, (contains(t, 'the'))::INT + (contains(t, 'tion'))::INT AS a, (contains(t, 'que'))::INT + (contains(t, 'eau'))::INT AS b,

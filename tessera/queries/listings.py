@@ -82,11 +82,11 @@ def seeds_by_sector(spark, sf_dir):
     return rows.select("s_suppkey", filters.overlapping("sectors", ["health"]).alias("chosen"))
 
 
-@query("""SELECT c_name AS name, c_custkey % 4 AS tier FROM customer WHERE c_custkey % 4 = 1 AND c_custkey NOT IN (SELECT o_custkey FROM orders) AND NOT regexp_matches(lower(c_name), '\\b(000000013)\\b')""".replace("\\\\", "\\"))
+@query("""SELECT c_name AS name, c_custkey % 4 AS tier FROM customer WHERE c_custkey % 4 = 1 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND NOT regexp_matches(lower(c_name), '\\b(000000013)\\b')""".replace("\\\\", "\\"))
 def register_selection(spark, sf_dir):
     """FLT-13, FLT-14, SRC-10: a tier's funders without a row in an earlier run and not excluded by name."""
     register = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 4).alias("tier"), "c_custkey")
-    earlier = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).join(register, "c_custkey").select("name")
+    earlier = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).join(register, "c_custkey").select("name")
     return filters.not_excluded(filters.select_funders(register, 1, earlier), ("000000013",)).select("name", "tier")
 
 
@@ -95,7 +95,7 @@ def register_selection(spark, sf_dir):
  CASE WHEN need IS NOT NULL THEN 'need=' || need END, 'sector=' || array_to_string(list_sort(sector), ',')], lambda x: x IS NOT NULL)), '&') AS profile_key FROM v_profile""")
 def profile_check(spark, sf_dir):
     """FLT-15."""
-    checked = filters.check_profiles(view(spark, sf_dir, "v_profile"), ("under-50k", "50k-250k"), ("charity", "school"))
+    checked = filters.check_profiles(view(spark, sf_dir, "v_profile"), ("under-50k", "50k-250k"), ("charitable-trust", "school"))
     return checked.select("profile_id", "rejected", "profile_key")
 
 
@@ -129,14 +129,51 @@ def coverage(spark, sf_dir):
     return resolve.coverage(_opp(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))
 
 
-@query("""WITH i AS (SELECT item_id AS left_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF length(x) >= 9])) AS w FROM benchmark),
-d AS (SELECT doc_id AS right_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF length(x) >= 9])) AS w FROM documents)
+@query("""WITH i AS (SELECT item_id AS left_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF length(x) >= 4])) AS w FROM benchmark),
+d AS (SELECT doc_id AS right_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF length(x) >= 4])) AS w FROM documents)
 SELECT left_id, right_id, count(*) AS shared FROM i JOIN d USING (w) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def evidence_match(spark, sf_dir):
-    """JON-05, JON-06, JON-08: texts that share two long words."""
+    """JON-05, JON-06, JON-08: texts that share two words of four letters or more."""
     left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("left_text"))
     right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
-    return resolve.shared_words(left, right, 2, 9)
+    return resolve.shared_words(left, right, 2)
+
+
+_SHARED = """i AS (SELECT item_id AS left_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF length(x) >= 4])) AS w FROM benchmark),
+d AS (SELECT doc_id AS right_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF length(x) >= 4])) AS w FROM documents),
+m AS (SELECT left_id, right_id FROM i JOIN d USING (w) GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+
+def _items_and_documents(spark, sf_dir):
+    left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("left_text"))
+    return left, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
+
+
+@query(f"""WITH {_SHARED} SELECT left_id AS case_id, right_id AS evidence_id FROM m UNION SELECT item_id, doc_id FROM benchmark JOIN documents ON doc_id IN (3 * item_id, 5 * item_id + 1)""")
+def case_evidence(spark, sf_dir):
+    """JON-06: evidence that a case lists, or that shares two words with its title."""
+    left, right = _items_and_documents(spark, sf_dir)
+    cases = left.select(F.col("left_id").alias("case_id"), F.col("left_text").alias("title"), F.expr("array(3 * left_id, 5 * left_id + 1, -1)").alias("listed"))
+    return resolve.case_evidence(cases, right.select(F.col("right_id").alias("evidence_id"), F.col("right_text").alias("text")))
+
+
+@query(f"""WITH {_SHARED}, h AS (SELECT item_id AS left_id, array_to_string([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF x <> ''][1:5], '-') AS h FROM benchmark),
+g AS (SELECT doc_id AS right_id, array_to_string([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF x <> ''][1:5], '-') AS h FROM documents),
+s AS (SELECT left_id, right_id, 0 AS stage FROM h JOIN g USING (h) WHERE h <> '' UNION ALL SELECT left_id, right_id, 1 FROM m) SELECT left_id, min_by(right_id, (stage, right_id)) AS right_id FROM s GROUP BY 1""")
+def existing_cases(spark, sf_dir):
+    """JON-08: the case a listing already has, by its first words, else by two shared words."""
+    return resolve.existing_case(*_items_and_documents(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT funder AS report, pos, title, pos % 2 = 0 AS own, list_distinct([x FOR x IN regexp_split_to_array(lower(title), '[^a-z0-9]+') IF x <> '']) AS w FROM v_opp),
+n AS (SELECT report, count(*) AS n FROM b WHERE own GROUP BY 1), e AS (SELECT b.* FROM b LEFT JOIN n USING (report) WHERE NOT own AND coalesce(n, 0) < 4),
+said AS (SELECT DISTINCT e.report, e.pos FROM e JOIN b ON b.own AND b.report = e.report WHERE len(list_intersect(e.w, b.w)) >= 3),
+u AS (SELECT report, pos, title, false AS added FROM b WHERE own UNION ALL SELECT report, pos, title, true FROM e ANTI JOIN said USING (report, pos))
+SELECT *, row_number() OVER (PARTITION BY report ORDER BY added, pos) AS seq FROM u""")
+def supplemented_reports(spark, sf_dir):
+    """JON-07: a funder's even rows are its report, short ones take odd rows that say something new."""
+    rows = _opp(spark, sf_dir).select(F.col("funder").alias("report"), "pos", "title")
+    return resolve.supplement(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1"))
 
 
 @query(f"""WITH {_S}, l AS (SELECT id, tags, CASE WHEN deadline_state = 'dated' THEN deadline::DATE ELSE DATE '9999-12-31' END AS due FROM s WHERE status = 'live'),
@@ -279,10 +316,10 @@ def sweep_summary(spark, sf_dir):
     return publish.sweep_summary(_changes(spark, sf_dir), _listed(spark, sf_dir), today())
 
 
-@query("""SELECT title AS merge_key, min_by(id, pos) AS id, max_by(summary, (length(summary), -pos)) AS summary, list_transform(list_sort(list({'p': pos, 'e': evidence_id})), lambda x: x.e) AS evidence_ids FROM v_opp WHERE pos % 3 = 0 GROUP BY 1""")
+@query("""SELECT title AS merge_key, min_by(id, pos) AS id, max_by(summary, (length(summary), -pos)) AS summary, list_transform(list_sort(list({'p': pos, 'e': evidence_id})), lambda x: x.e) AS evidence_ids FROM v_opp GROUP BY 1""")
 def first_wins(spark, sf_dir):
     """DED-01."""
-    rows = _opp(spark, sf_dir).where("pos % 3 = 0").withColumn("merge_key", F.col("title"))
+    rows = _opp(spark, sf_dir).withColumn("merge_key", F.col("title"))
     return resolve.merge_first(rows, "merge_key").select("merge_key", "id", "summary", "evidence_ids")
 
 
@@ -328,12 +365,12 @@ def take_turns(spark, sf_dir):
 _FIT = f"""
 l AS (SELECT *, CASE WHEN deadline_state = 'dated' THEN deadline::DATE - {_ASOF} END AS days,
   CASE WHEN amount_min > 0 AND NOT coalesce(amount_min > amount_max, false) THEN amount_min END AS lo, CASE WHEN amount_max > 0 AND NOT coalesce(amount_min > amount_max, false) THEN amount_max END AS hi,
-  CASE pos % 4 WHEN 0 THEN ['charity'] WHEN 1 THEN ['school', 'sports-club'] WHEN 2 THEN ['individual'] ELSE [] END AS entities FROM s WHERE status = 'live'),
+  CASE pos % 4 WHEN 0 THEN ['charitable-trust'] WHEN 1 THEN ['school', 'club'] WHEN 2 THEN ['individual'] ELSE [] END AS entities FROM s WHERE status = 'live'),
 x AS (SELECT p.profile_id, p.sector, p.region AS pr, p.size, p.status AS pst, p.need, l.id, l.title, l.source_url, l.verified_at, l.tags, l.region, l.entities, l.deadline_state, l.days, l.lo, l.hi, l.currency, l.summary,
   list_contains(l.region, 'national') AS nat, coalesce(list_contains(l.region, p.region), false) AS own, len(list_intersect(p.sector, l.tags)) AS sh FROM l, v_profile p
   WHERE (p.region IS NULL OR list_contains(l.region, 'national') OR list_contains(l.region, p.region))
     AND NOT (p.status IS NOT NULL AND len(l.entities) > 0 AND NOT coalesce(list_contains(l.entities, p.status), false)
-      AND (l.entities = ['individual'] OR (p.status = 'charity' AND list_contains(l.entities, 'charity')) OR (p.status = 'school' AND list_has_any(l.entities, ['school', 'sports-club']))))),
+      AND (l.entities = ['individual'] OR (p.status = 'charitable-trust' AND list_contains(l.entities, 'charitable-trust')) OR (p.status = 'school' AND list_has_any(l.entities, ['school', 'club']))))),
 y AS (SELECT *, CASE WHEN sh > 0 THEN 40 + 10 * (sh - 1) ELSE -40 END AS sector_p, CASE WHEN pr IS NULL THEN 0 WHEN nat THEN 15 WHEN own THEN 25 ELSE 0 END AS region_p,
   CASE WHEN coalesce(list_contains(entities, pst), false) THEN 20 ELSE 0 END AS status_p,
   CASE WHEN deadline_state = 'dated' THEN CASE WHEN days < 7 THEN 0 WHEN days <= 45 THEN 15 ELSE 8 END WHEN deadline_state = 'rolling-confirmed' THEN 5 ELSE 0 END AS due_p,
@@ -350,7 +387,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC,
 
 
 def _fit(spark, sf_dir, top=None):
-    entities = F.expr("CASE pos % 4 WHEN 0 THEN array('charity') WHEN 1 THEN array('school', 'sports-club') WHEN 2 THEN array('individual') ELSE cast(array() AS array<string>) END")
+    entities = F.expr("CASE pos % 4 WHEN 0 THEN array('charitable-trust') WHEN 1 THEN array('school', 'club') WHEN 2 THEN array('individual') ELSE cast(array() AS array<string>) END")
     rows = _listed(spark, sf_dir).withColumns({"entities": entities, "need_text": F.col("summary")})
     return ranking.fit(rows, view(spark, sf_dir, "v_profile"), today(), "NZD", REGIONS, top)
 
@@ -479,13 +516,12 @@ def day_and_year_stated(spark, sf_dir):
     return rows.select("id", verify.states_day(said, F.col("due")).alias("day_stated"), verify.year_conflicts(said, F.col("due")).alias("year_conflict"))
 
 
-@query(f"""SELECT id, CASE WHEN pos % 11 = 0 THEN 'programme not mentioned' WHEN deadline_state = 'unresolved' THEN 'invalid state' WHEN pos % 7 = 0 THEN 'excerpt not found' WHEN deadline_state = 'dated' AND year(deadline::DATE) < year(first_seen::DATE) - 1 THEN 'too old' END AS reason,
- CASE WHEN pos % 11 = 0 OR pos % 7 = 0 OR deadline_state = 'unresolved' THEN 'unresolved' WHEN deadline_state = 'dated' THEN CASE WHEN deadline::DATE < {_ASOF} THEN 'closed' ELSE 'dated' END ELSE deadline_state END AS new_state
-FROM v_opp WHERE deadline_state <> 'dated' OR deadline::DATE - {_ASOF} <= 730""")
+@query(f"""SELECT id, CASE WHEN pos % 11 = 0 THEN 'programme not mentioned' WHEN deadline_state = 'unresolved' THEN 'invalid state' WHEN pos % 7 = 0 THEN 'excerpt not found' WHEN deadline_state = 'dated' AND deadline::DATE - {_ASOF} > 730 THEN 'too far ahead' WHEN deadline_state = 'dated' AND year(deadline::DATE) < year(first_seen::DATE) - 1 THEN 'too old' END AS reason,
+ CASE WHEN pos % 11 = 0 OR pos % 7 = 0 OR deadline_state = 'unresolved' OR (deadline_state = 'dated' AND (deadline::DATE - {_ASOF} > 730 OR year(deadline::DATE) < year(first_seen::DATE) - 1)) THEN 'unresolved' WHEN deadline_state = 'dated' THEN CASE WHEN deadline::DATE < {_ASOF} THEN 'closed' ELSE 'dated' END ELSE deadline_state END AS new_state
+FROM v_opp""")
 def claim_check(spark, sf_dir):
     """VER-05, PRJ-05: answers over the listings' own deadlines."""
-    rows = _opp(spark, sf_dir).where(f"deadline_state <> 'dated' OR datediff(to_date(deadline), {_ASOF}) <= 730")
-    answers = rows.withColumns({
+    answers = _opp(spark, sf_dir).withColumns({
         "mentions_programme": F.expr("pos % 11 <> 0"),
         "answer_state": F.expr("CASE deadline_state WHEN 'rolling-confirmed' THEN 'rolling' WHEN 'unresolved' THEN 'odd' ELSE deadline_state END"),
         "answer_deadline": F.expr("CASE WHEN deadline_state = 'dated' THEN deadline END"),
@@ -494,12 +530,55 @@ def claim_check(spark, sf_dir):
     return verify.interpret(answers, today()).select("id", "reason", "new_state")
 
 
-@query(r"""WITH w AS (SELECT doc_id, text, array_to_string(string_split(t, ' ')[1:4], ' ') || CASE WHEN doc_id % 2 = 0 THEN ' zzzzqq zzzzqx' ELSE '' END AS title FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS t FROM documents WHERE lang = 'en')),
+_CHECKED = f"""SELECT id, CASE WHEN pos % 11 = 0 THEN 'programme not mentioned' WHEN deadline_state = 'unresolved' THEN 'invalid state' WHEN pos % 7 = 0 THEN 'excerpt not found' WHEN deadline_state = 'dated' AND deadline::DATE - {_ASOF} > 730 THEN 'too far ahead' WHEN deadline_state = 'dated' AND year(deadline::DATE) < year(first_seen::DATE) - 1 THEN 'too old' END AS reason,
+ CASE WHEN pos % 11 = 0 OR pos % 7 = 0 OR deadline_state = 'unresolved' OR (deadline_state = 'dated' AND (deadline::DATE - {_ASOF} > 730 OR year(deadline::DATE) < year(first_seen::DATE) - 1)) THEN 'unresolved' WHEN deadline_state = 'dated' THEN CASE WHEN deadline::DATE < {_ASOF} THEN 'closed' ELSE 'dated' END ELSE deadline_state END AS new_state
+FROM v_opp"""
+
+
+@query(f"""WITH c AS ({_CHECKED}), r AS (SELECT c.*, pos FROM c JOIN v_opp USING (id)),
+e AS (SELECT 'state' AS measure, new_state AS key, 1.0 AS n FROM r UNION ALL SELECT 'reason', reason, 1 FROM r WHERE reason IS NOT NULL UNION ALL SELECT 'tokens', 'in', pos % 1000 FROM r UNION ALL SELECT 'tokens', 'out', pos % 50 FROM r
+ UNION ALL SELECT 'cost', 'usd', (pos % 1000) / 1e6 * 3 + (pos % 50) / 1e6 * 15 FROM r UNION ALL SELECT 'confirmed', unnest(['deadline', 'amount'][1:1 + pos % 2]), 1 FROM r WHERE reason IS NULL)
+SELECT measure, key, round(sum(n)::DOUBLE, 6) AS n FROM e GROUP BY 1, 2""")
+def verify_statistics(spark, sf_dir):
+    """AGG-13: what a verification found and what it cost."""
+    e = F.expr
+    results = claim_check(spark, sf_dir).join(_opp(spark, sf_dir).select("id", "pos"), "id")
+    return verify.statistics(results.select("new_state", "reason", e("CASE WHEN reason IS NULL THEN slice(array('deadline', 'amount'), 1, cast(1 + pos % 2 AS int)) END").alias("confirmed"), e("pos % 1000").alias("tokens_in"), e("pos % 50").alias("tokens_out")), 3.0, 15.0)
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN deadline_state = 'rolling-confirmed' THEN 'rolling' WHEN deadline_state IN ('dated', 'closed') THEN deadline_state ELSE 'unknown' END AS said FROM v_opp),
+r AS (SELECT *, CASE WHEN pos % 13 = 0 THEN 'title not found on page' WHEN pos % 7 = 0 AND said = 'closed' THEN 'deadline excerpt not found on page'
+ WHEN pos % 7 = 0 AND pos % 2 = 1 AND amount_max IS NULL THEN 'nothing on the page supports the programme'
+ WHEN pos % 7 <> 0 AND said = 'dated' THEN CASE WHEN deadline::DATE - {_ASOF} > 730 THEN 'too far ahead' WHEN year(deadline::DATE) < year(first_seen::DATE) - 1 THEN 'too old' END END AS reason FROM c)
+SELECT id, reason, CASE WHEN reason IS NULL THEN CASE WHEN pos % 7 = 0 THEN 'not-stated' WHEN said = 'rolling' THEN 'rolling-confirmed' WHEN said = 'unknown' THEN 'not-stated' WHEN said = 'dated' AND deadline::DATE < {_ASOF} THEN 'closed' ELSE said END END AS state,
+ CASE WHEN reason IS NULL THEN CASE WHEN pos % 7 <> 0 AND said = 'dated' THEN deadline WHEN pos % 7 <> 0 AND said = 'rolling' THEN 'rolling' ELSE 'TBC' END END AS due,
+ CASE WHEN reason IS NULL AND amount_max IS NOT NULL AND pos % 5 <> 4 THEN amount_max END AS high FROM r""")
+def checked_claims(spark, sf_dir):
+    """VER-06: the whole check of claims against pages put together from the listings."""
+    e = F.expr
+    rows = _opp(spark, sf_dir).select(
+        "id", "pos", "title", "funder", "first_seen", "deadline", "amount_max", F.lit(None).cast("bigint").alias("amount_min"),
+        e("CASE deadline_state WHEN 'rolling-confirmed' THEN 'rolling' ELSE deadline_state END").alias("deadline_state"),
+        e("CASE WHEN deadline_state = 'rolling-confirmed' THEN 'Applications are open all year' ELSE concat('Applications  close on ', deadline, ' at noon') END").alias("deadline_excerpt"),
+        e("CASE WHEN pos % 2 = 0 THEN 'Open to every registered charity' END").alias("eligibility_excerpt"),
+        e("concat('Grants of up to ', amount_max, ' a year')").alias("amount_excerpt"),
+    )
+    told = e("CASE WHEN pos % 13 = 0 THEN 'Nothing of the kind' ELSE title END")
+    paid = e("CASE WHEN amount_max IS NOT NULL AND pos % 5 <> 4 THEN concat(amount_excerpt, '. ') ELSE '' END")
+    # a figure that its sentence does not state stays unproven
+    worded = e("CASE WHEN amount_max IS NOT NULL AND pos % 5 = 4 THEN concat(amount_excerpt, ' or so. ') ELSE '' END")
+    page = F.concat(told, F.lit(". Open to every registered charity. "), paid, worded, e("CASE WHEN pos % 7 = 0 THEN '' ELSE replace(deadline_excerpt, '  ', ' ') END"))
+    figure = e("CASE WHEN pos % 5 = 4 THEN amount_max + 7 ELSE amount_max END")
+    checked = verify.check_claims(rows.withColumn("page_text", page).withColumn("amount_max", figure), today())
+    return checked.select("id", "reason", "state", "due", "high")
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, array_to_string(string_split(t, ' ')[1:4], ' ') || CASE WHEN doc_id % 2 = 0 THEN ' zzzzqq zzzzqx' ELSE '' END AS title FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS t FROM documents)),
 v AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS p, title, [x FOR x IN string_split(title, ' ') IF length(x) >= 4] AS ws FROM w)
 SELECT doc_id, contains(p, title) AND title <> '' OR (len(ws) >= 2 AND len([x FOR x IN ws IF contains(p, x)]) >= 0.8 * len(ws)) AS on_page FROM v""")
 def titles_on_pages(spark, sf_dir):
     """VER-07."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("t", F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")))
+    docs = table(spark, sf_dir, "documents").withColumn("t", F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")))
     title = F.expr("concat(array_join(slice(split(t, ' '), 1, 4), ' '), CASE WHEN doc_id % 2 = 0 THEN ' zzzzqq zzzzqx' ELSE '' END)")
     return docs.select("doc_id", verify.title_on_page(title, verify.norm("text")).alias("on_page"))
 

@@ -34,15 +34,16 @@ def same_pages(spark, sf_dir):
     return rows.select("page_id", text.same_page("url", other).alias("same"))
 
 
-@query(r"""SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS sweep_key, true AS named FROM v_opp""")
+@query(r"""SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS sweep_key, pos % 3 <> 0 AS named FROM v_opp""")
 def sweep_title_keys(spark, sf_dir):
     """STR-08, STR-36."""
     rows = view(spark, sf_dir, "v_opp")
-    page = F.concat(F.lit("About "), F.upper("title"), F.lit(" and more"))
+    # every third page names the funder's other programme
+    page = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("About programme "), F.col("pos") % 500 + 1, F.lit(" and more"))).otherwise(F.concat(F.lit("About "), F.upper("title"), F.lit(" and more")))
     return rows.select("id", text.title_key("title", F.col("pos") % 2 == 0).alias("sweep_key"), text.names_on_page(page, "title", ("and", "not")).alias("named"))
 
 
-@query("""SELECT doc_id, source AS run, 'EV-' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id))::VARCHAR, 4, '0') AS evidence_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS hash FROM documents""")
+@query("""SELECT doc_id, source AS run, printf('EV-%04d', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS evidence_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') AS hash FROM documents""")
 def sealed_evidence(spark, sf_dir):
     """SRC-17."""
     docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "run")

@@ -63,7 +63,7 @@ def _v_opp(spark: bool) -> str:
         else f"CASE WHEN k % 6 = 0 THEN ['national'] ELSE [{region}] END"
     )
     return f"""
-SELECT k AS pos, 'OPP-' || lpad(cast(k AS {string}), 8, '0') AS id, 'nz' AS country,
+SELECT k AS pos, 'OPP-' || lpad(cast(k AS {string}), cast(greatest(8, length(cast(k AS {string}))) AS int), '0') AS id, 'nz' AS country,
   CASE WHEN k % 11 = 0 THEN 'The ' || c_name WHEN k % 7 = 0 THEN c_name || ' (managed by Trust)' ELSE c_name END AS funder,
   'Programme ' || cast(k % 500 AS {string}) || ' & ' || lower(substr(o_orderpriority, 3)) AS title,
   CASE WHEN k % 37 = 0 THEN 'unresolved' WHEN k % 5 IN (0, 1) THEN 'dated' WHEN k % 5 = 2 THEN 'rolling-confirmed'
@@ -112,15 +112,16 @@ FROM lineitem"""
 
 
 def _v_profile(spark: bool) -> str:
+    """Profiles are the query set of a search: every customer whose key is divisible by 100."""
     string = "string" if spark else "VARCHAR"
     tag = lambda i: _pick(TAGS, i, spark)
-    sector = f"array({tag('c_custkey % 8')}, {tag('(c_custkey + 3) % 8')})" if spark else f"[{tag('c_custkey % 8')}, {tag('(c_custkey + 3) % 8')}]"
+    sector = f"array({tag('q % 8')}, {tag('(q + 3) % 8')})" if spark else f"[{tag('q % 8')}, {tag('(q + 3) % 8')}]"
     return f"""
-SELECT c_custkey AS profile_id, {sector} AS sector, CASE WHEN c_custkey % 5 <> 0 THEN 'nation-' || cast(c_nationkey AS {string}) END AS region,
-  CASE c_custkey % 4 WHEN 0 THEN 'under-50k' WHEN 1 THEN '50k-250k' WHEN 2 THEN '250k-1m' END AS size,
-  CASE c_custkey % 3 WHEN 0 THEN 'charity' WHEN 1 THEN 'school' END AS status,
-  CASE c_custkey % 2 WHEN 0 THEN 'project' END AS need
-FROM customer WHERE c_custkey < 100"""
+SELECT c_custkey AS profile_id, {sector} AS sector, CASE WHEN q % 5 <> 0 THEN 'nation-' || cast(c_nationkey AS {string}) END AS region,
+  CASE q % 4 WHEN 0 THEN 'under-50k' WHEN 1 THEN '50k-250k' WHEN 2 THEN '250k-1m' END AS size,
+  CASE q % 3 WHEN 0 THEN 'charitable-trust' WHEN 1 THEN 'school' END AS status,
+  CASE q % 2 WHEN 0 THEN 'project' END AS need
+FROM (SELECT *, {'c_custkey DIV 100' if spark else 'c_custkey // 100'} AS q FROM customer) c WHERE c_custkey % 100 = 0"""
 
 
 _VIEWS = {"v_opp": _v_opp, "v_hit": _v_hit, "v_usage": _v_usage, "v_profile": _v_profile}

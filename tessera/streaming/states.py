@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 RESEND, PENDING_TTL, RETENTION = 3600, 7 * 86_400, 30 * 86_400
 
@@ -102,16 +103,18 @@ def spend_cap(requests: DataFrame, cap: float, order: str = "event_id") -> DataF
     ``request``) or release.  Adds ``admitted`` (for reserves) and ``spent``.
     """
     def start():
-        return {"spent": 0.0, "held": {}}
+        return {"spent": 0.0, "held": {}, "sum": 0.0}
 
     def step(s, row):
         request, amount = row["request"], float(row["amount"] or 0)
         if row["kind"] == "reserve":
-            ok = s["spent"] + sum(s["held"].values()) + amount <= cap + 1e-9
+            ok = s["spent"] + s["sum"] + amount <= cap + 1e-9
             if ok:
+                s["sum"] += amount - s["held"].get(request, 0.0)
                 s["held"][request] = amount
             return s, (ok, s["spent"])
         held = s["held"].pop(request, None)
+        s["sum"] -= held or 0.0
         if row["kind"] == "add" and held is not None:
             s["spent"] += amount
         return s, (None, s["spent"])
@@ -125,60 +128,80 @@ def recipients(subscribers: DataFrame, sent: DataFrame, publish_id: str) -> Data
     return subscribers.where("confirmed_at IS NOT NULL AND unsubscribed_at IS NULL").join(done, "email", "left_anti")
 
 
-def admission_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """STM-03 on a stream of (key, ts, event_id): the admitted times of a key live in the state store and expire with the window."""
-    from pyspark.sql.streaming import StatefulProcessor
+def _times(ts: float) -> int:
+    """Event time of a state's end, in the milliseconds that timers take; the next one, as ends are exclusive."""
+    return int(ts * 1000) + 1
 
-    class Limiter(StatefulProcessor):
-        def init(self, handle):
-            self.log = handle.getListState("log", "ts double", int(window * 1000) + 1)
 
-        def handleInputRows(self, key, rows, timer_values):
-            log = deque(t[0] for t in self.log.get())
-            every = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-            out = [(key[0], int(e), (w := admit(log, float(t), limit, window)) is None, w) for t, e in zip(every["ts"], every["event_id"])]
-            if log:
-                self.log.put([(t,) for t in log])
-            else:
-                self.log.clear()
-            yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "wait"]).astype({"wait": "float64"})
+def admission_stream(events: DataFrame, limit: int, window: float, late: str = "1 hour") -> DataFrame:
+    """STM-03 on a stream of (key, ts in seconds, event_id): the admitted times of a key are its state.
 
-        def close(self):
-            pass
+    A state ends by event time: once the watermark, ``late`` behind the newest
+    event, has passed the last admitted time by the window.  A replayed log
+    gives what the batch twin gives; rows older than the watermark are
+    dropped, as Spark does.
+    """
 
-    return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Limiter(), outputStructType="key long, event_id long, allowed boolean, wait double", outputMode="Append", timeMode="ProcessingTime"
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        log = deque(state.get[0] if state.exists else ())
+        every = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = [(key[0], int(e), (w := admit(log, float(t), limit, window)) is None, w) for t, e in zip(every["ts"], every["event_id"])]
+        state.update((list(log),))
+        end = _times(log[-1] + window) if log else 0
+        if end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+        yield pd.DataFrame(out, columns=["key", "event_id", "allowed", "wait"]).astype({"wait": "float64"})
+
+    timed = events.withColumn("__time", F.timestamp_millis((F.col("ts") * 1000).cast("long"))).withWatermark("__time", late)
+    return timed.groupBy("key").applyInPandasWithState(
+        step, "key long, event_id long, allowed boolean, wait double", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """STM-04, STM-05 on a stream of (email, event, ts, event_id): one row an event with its outcome."""
-    from pyspark.sql.streaming import StatefulProcessor
+def lifecycle_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """STM-04, STM-05 on a stream of (email, event, ts in seconds, event_id): one row an event with its outcome.
 
+    A pending or unsubscribed record that the watermark has outlived is
+    removed and told as a row with outcome ``purged`` and no event_id, so
+    purges can be counted.
+    """
     names = ("created", "sent", "confirmed", "left")
 
-    class Subscriber(StatefulProcessor):
-        def init(self, handle):
-            self.record = handle.getValueState("record", "created double, sent double, confirmed double, left double")
-
-        def handleInputRows(self, key, rows, timer_values):
-            held = self.record.get() if self.record.exists() else None
-            state = None if held is None else dict(zip(names, held))
-            every = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-            out = []
-            for t, e, what in zip(every["ts"], every["event_id"], every["event"]):
-                state, outcome = lifecycle(state, what, float(t))
-                out.append((key[0], int(e), outcome))
-            if state is None:
-                self.record.clear()
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"email": [key[0]], "event_id": pd.array([None], "Int64"), "outcome": ["purged"]})
+            return
+        record = dict(zip(names, state.get)) if state.exists else None
+        every = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for t, e, what in zip(every["ts"], every["event_id"], every["event"]):
+            record, outcome = lifecycle(record, what, float(t))
+            out.append((key[0], int(e), outcome))
+        if record is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(record[n] for n in names))
+            if record["left"] is not None:
+                end = _times(record["left"] + RETENTION)
+            elif record["confirmed"] is None:
+                end = _times(record["sent"] + PENDING_TTL)
             else:
-                self.record.update(tuple(state[n] for n in names))
-            yield pd.DataFrame(out, columns=["email", "event_id", "outcome"])
-
-        def close(self):
-            pass
-
-    return events.groupBy("email").transformWithStateInPandas(
-        statefulProcessor=Subscriber(), outputStructType="email string, event_id long, outcome string", outputMode="Append", timeMode="None"
+                end = 0
+            if end > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(end)
+        yield pd.DataFrame(out, columns=["email", "event_id", "outcome"]).astype({"event_id": "Int64"})
+
+    timed = events.withColumn("__time", F.timestamp_millis((F.col("ts") * 1000).cast("long"))).withWatermark("__time", late)
+    return timed.groupBy("email").applyInPandasWithState(
+        step, "email string, event_id long, outcome string", "created double, sent double, confirmed double, left double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
+
+def purges(outcomes: DataFrame) -> DataFrame:
+    """STM-05, AGG-17: (purged): records that ended without an event."""
+    return outcomes.where("outcome = 'purged'").agg(F.count("*").alias("purged"))

@@ -5,7 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from tessera.functions import classify, dates, text
-from tessera.operators import extract, filters, graph, publish, ranking, resolve, traffic, verify
+from tessera.operators import extract, filters, graph, publish, ranking, records, resolve, traffic, verify
 
 
 def each(spark, values, make, kind="string"):
@@ -108,16 +108,50 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
 
 def test_entities():
     cases = {
-        "Open to registered charities": ["charity"], "Local councils are not eligible": [], "Charities and incorporated societies. Individuals cannot apply": ["charity", "incorporated-society"],
+        "Open to registered charities": ["charitable-trust"], "Local councils are not eligible": [], "Charities and incorporated societies. Individuals cannot apply": ["charitable-trust", "incorporated-society"],
+        "Marae, iwi and hapū": ["iwi-hapu", "marae"], "Unincorporated groups; sports clubs": ["club", "informal"], "Companies or sole traders": ["company", "individual"],
+        "Councils only": ["local-authority"], "Unincorporated societies": ["informal"],
         "Any legal entity": [], "": [], "Schools but not clubs": ["school"],
     }
     assert {k: extract.parse_entities(k) for k in cases} == cases
     assert extract.parse_entities(None) == []
+    assert set(extract.ENTITIES) == set(extract.ENTITY_TYPES) == set(ranking.AXES)
+
+
+def test_a_status_clashes_on_its_own_axis_alone(spark):
+    lists = [[], ["marae"], ["charitable-trust", "club"], ["individual"], ["local-authority", "school"], ["unheard-of"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "id int, entities array<string>")
+    got = {r.id: set(r.m) for r in rows.select("id", ranking.mismatched("entities").alias("m")).collect()}
+    for k, have in enumerate(lists):
+        want = set()
+        for status, own in ranking.AXES.items():
+            axes = [ranking.AXES.get(e) for e in have]
+            if have and status not in have and (own == "alone" or own in axes or set(axes) == {"alone"}):
+                want.add(status)
+        assert got[k] == want
+
+
+def test_evidence_ids_do_not_end_at_four_digits(spark):
+    rows = spark.range(10_050).withColumn("run", F.lit("r"))
+    ids = {r.evidence_id for r in records.seal(rows, "run", ["id"], ["id"]).collect()}
+    assert len(ids) == 10_050 and {"EV-0001", "EV-9999", "EV-10050"} <= ids
+
+
+def test_every_campaign_source_counts(spark):
+    urls = {
+        "/p?utm_source=a&utm_source=chatgpt.com": "chatgpt.com", "/p?utm_source=chatgpt.com.": "chatgpt.com", "/p?utm_source=%63hatgpt.com": "chatgpt.com",
+        "/p?x=1&utm_source=+Claude.AI+#utm_source=x": "claude.ai", "/p?utm_source=notchatgpt.com": None, "/p": None, "/p?utm_source=": None, "/p#?utm_source=chatgpt.com": None,
+        "/p?utm_source=%zz&utm_source=perplexity.ai": "perplexity.ai",
+    }
+    rows = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.t for r in rows.select("u", classify.assistant_tag(F.col("u")).alias("t")).collect()} == urls
+    mails = rows.sparkSession.createDataFrame([("/a?utm_medium=E%6dail",), ("/a?utm_medium=x&utm_medium= email",), ("/a?utm_medium=emails",)], "u string")
+    assert [r[0] for r in mails.select(classify.email_tag(F.col("u"))).collect()] == [True, True, False]
 
 
 def test_entities_join_keeps_null_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, "Charities"), (3, "Charities")], "id int, eligibility string")
-    assert {r.id: r.entities for r in extract.entities(rows).collect()} == {1: [], 2: ["charity"], 3: ["charity"]}
+    assert {r.id: r.entities for r in extract.entities(rows).collect()} == {1: [], 2: ["charitable-trust"], 3: ["charitable-trust"]}
 
 
 def test_pages(spark):
@@ -210,7 +244,7 @@ def test_profiles_in_blocks_score_the_same(spark, monkeypatch):
     from tessera.queries.listings import _fit
 
     whole = sorted(map(tuple, _fit(spark, "/root/testdata/sf0.001", 3).select("profile_id", "id", "score", "rank").collect()))
-    monkeypatch.setattr(ranking, "PROFILE_BLOCK", 40)
+    monkeypatch.setattr(ranking, "PROFILE_BLOCK", 1)
     assert sorted(map(tuple, _fit(spark, "/root/testdata/sf0.001", 3).select("profile_id", "id", "score", "rank").collect())) == whole
 
 
