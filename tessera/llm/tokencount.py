@@ -48,16 +48,26 @@ def _count_small(path: str):
     return count
 
 
+#: Chunks handed on at a time.
+BATCH_CHUNKS = 1_000
+
+
 def _cut(chunk: int, overlap: int):
+    names = ["row", "k", "begin", "core", "last", "part"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for pdf in batches:
             for row, text in zip(pdf["row"], pdf["text"]):
                 n = len(text)
                 for k, at in enumerate(range(0, n, chunk)):
                     begin, end = max(0, at - overlap), min(n, at + chunk + overlap)
-                    yield pd.DataFrame(
-                        {"row": [row], "k": [k], "begin": [begin], "core": [at], "last": [at + chunk >= n], "part": [text[begin:end]]}
-                    )
+                    held.append((row, k, begin, at, at + chunk >= n, text[begin:end]))
+                    if len(held) == BATCH_CHUNKS:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return cut
 
