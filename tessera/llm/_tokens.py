@@ -25,7 +25,7 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Taken off a word's end when the rest ends in a letter: letters and these never share a token.
 _TAIL = ".,*$%&#!?;:"
 #: Distinct pieces held by one worker before it starts afresh; results do not depend on it.
-MAX_PIECES = 900_000
+MAX_PIECES = 450_000
 #: Characters of text in work at a time.
 SLICE_CHARS = 2_000_000
 

@@ -45,7 +45,8 @@ PRIOR_WEIGHT = 0.02
 #: Examples in a calibration step.
 STEP_EXAMPLES = 40
 _WORD = re.compile(r"\w+")
-_MEMO = 400_000
+#: Words whose features a worker remembers.
+_MEMO = 100_000
 
 
 def features(word: str) -> list[str]:
