@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm import _held
+
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Taken off a word's end when the rest ends in a letter: letters and these never share a token.
 _TAIL = ".,*$%&#!?;:"
@@ -49,6 +51,7 @@ _open: dict[str, "Encoder"] = {}
 
 def encoder(path: str) -> "Encoder":
     """The worker's encoder for a vocabulary file."""
+    _held.take("tokens", _open.clear)
     if path not in _open:
         _open[path] = Encoder(path)
     return _open[path]

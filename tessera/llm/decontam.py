@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import _files
+from tessera.llm import _files, _held
 from tessera.llm._tokens import spread
 from tessera.session import scratch, written
 
@@ -286,6 +286,7 @@ class Blocks:
 
     def index(self, k: int) -> Index:
         """The index of a block; a worker keeps the last one."""
+        _held.take("decontam", _last.clear)
         name = (self.folder, k, self.similarity)
         if name not in _last:
             _last.clear()

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import _held
 from tessera.llm._tokens import spread
 from tessera.session import written
 
@@ -46,7 +47,7 @@ PRIOR_WEIGHT = 0.02
 STEP_EXAMPLES = 40
 _WORD = re.compile(r"\w+")
 #: Words whose features a worker remembers.
-_MEMO = 100_000
+_MEMO = 60_000
 
 
 def features(word: str) -> list[str]:
@@ -316,6 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES, most_posti
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _held.take("toxicity", shared.value.memo.clear)
         for batch in batches:
             raw = [shared.value.raw(t.as_py(), k) for t, k in zip(batch.column("text"), batch.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -348,6 +350,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        _held.take("toxicity", m.memo.clear)
         for batch in batches:
             got = [m.score(t.as_py(), k) for t, k in zip(batch.column("text"), batch.column("doc_id").to_pylist())]
             value = np.array([g[0] for g in got], np.float64)
@@ -373,6 +376,7 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        _held.take("toxicity", shared.value.memo.clear)
         for texts, ids in batches:
             own = [None if pd.isna(k) else int(k) for k in ids]
             yield pd.Series([shared.value.score(t, k)[0] for t, k in zip(texts, own)])
