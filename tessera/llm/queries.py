@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, licenses, packing, quality, repair, simhash, tokencount, toxicity, urlfilter, warc
+from tessera.llm import (
+    additive,
+    collocations,
+    decontam,
+    licenses,
+    packing,
+    quality,
+    repair,
+    simhash,
+    tokencount,
+    toxicity,
+    urlfilter,
+    variants,
+    warc,
+)
 from tessera.session import table
 
 
@@ -57,6 +71,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = additive.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return additive.score(docs, model)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +98,9 @@ QUERIES = {
         op8_token_counts,
         op9_license_scan,
         op10_toxicity,
+        op11_spelling_variants,
+        op12_quality_model,
+        op13_collocations,
     )
 }
 
@@ -149,5 +180,76 @@ WITH known(license_id, digest) AS (VALUES {_KNOWN}), d AS (
   SELECT doc_id, 'line', line_no, sha256(form) FROM c WHERE form <> '' AND sha256(form) IN (SELECT digest FROM known)
 )
 SELECT w.*, license_id FROM w LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest) USING (digest)
+""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crcs AS (
+  SELECT [list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+          FOR i IN range(256)] AS t
+), r AS (
+  SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (
+    SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS x FROM documents) WHERE length(x) >= 7
+), g AS (
+  SELECT run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS b FROM r GROUP BY doc_id, run
+), h AS (
+  SELECT run, k, xor(list_reduce([4294967295] || [('0x' || substr(b, 2 * j + 1, 2))::BIGINT FOR j IN range(length(b) // 2)],
+                     lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) AS h FROM g, crcs
+), s AS (
+  SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word FROM h
+), v AS (
+  SELECT word, sum(k)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2
+), d AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM d a JOIN v b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM d a JOIN v b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, near_n,
+         row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place FROM p
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form,
+         CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word AND place = 1
+), chain AS (
+  SELECT word, coalesce(form, word) AS root FROM f
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL AND c.root <> c.word
+), last AS (
+  SELECT c.word, root FROM chain c JOIN f ON c.root = f.word WHERE f.form IS NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces
+), grams AS (
+  SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))
+), f AS (
+  SELECT lang, k, g, count(*)::BIGINT AS a FROM grams GROUP BY lang, k, g
+), sizes AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE k >= 2 AND a >= 30
+), inside AS (
+  SELECT DISTINCT lang, g[i : i + m - 1] AS g, a AS most FROM (
+    SELECT lang, g, a, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k)
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN (SELECT lang, g, max(most) AS most FROM inside GROUP BY lang, g) i ON c.lang = i.lang AND c.g = i.g
+  WHERE most IS NULL OR 100 * most < 80 * a
+), cuts AS (
+  SELECT lang, g, a, k, unnest(range(1, k)) AS j FROM kept
+), parts AS (
+  SELECT cuts.lang, cuts.g, cuts.a, j, x.a AS l, y.a AS r, ((2000000::HUGEINT * cuts.a) // (x.a + y.a))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1 : j] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[j + 1 : cuts.k]
+), lowest AS (
+  SELECT *, array_to_string(g, ' ') AS phrase FROM parts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM lowest JOIN sizes USING (lang) QUALIFY rank <= 2000
 """,
 }
