@@ -6,13 +6,12 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.functions import dates, text
-from tessera.plans.components import connected_components
+from tessera.plans.forest import constrained_groups
 from tessera.session import written
 
 NEAR_IDENTICAL, COMPATIBLE = 0.9, 0.6
@@ -156,95 +155,190 @@ def title_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def edges(rows: DataFrame) -> DataFrame:
-    """DED-02, DED-03: (i, j, rule, rule_no) candidate merges; i stands before j.
+def similar_titles(titles: DataFrame, least: float, contained: bool = False) -> DataFrame:
+    """DED-03: (block, a, b): distinct titles of one block whose ratio, a first, is at least ``least``.
 
-    ``rows`` have pos (unique), published, dedupe_key, title, funder,
-    source_url, deadline, amount_min, amount_max.  Pairs come from equi-joins
-    inside a block; pairs of two published rows are skipped.  A title ratio is
-    computed only for distinct title pairs that its length bound lets through.
-    Blocks of one funder and title link to their first rows instead of to all:
-    the links connect the same rows.
+    ``titles`` has block and title, distinct and not blank; both orders of a
+    pair are judged, as the ratio is not symmetric.  ``contained`` adds pairs
+    of which one contains the other.  A ratio of ``least`` needs that share of
+    characters in common, so titles meet by the rarest of their numbered
+    characters alone (a prefix filter), then by length and by characters in
+    common; the ratio itself runs once for each distinct pair that is left.
+    A contained title is met by its rarest run of up to three characters.
+    """
+    n = titles.select("block", "title", F.char_length("title").cast("long").alias("n"))
+    chars = F.filter(F.split("title", ""), lambda c: c != "")
+    numbered = F.expr("transform(c, (x, k) -> concat(x, size(filter(slice(c, 1, k + 1), y -> y = x))))")
+    spelt = n.withColumn("c", chars).withColumn("tokens", numbered).drop("c")
+    each = spelt.select("block", "title", F.explode("tokens").alias("token"))
+    common = each.groupBy("block", "token").agg(F.count("*").alias("f"))
+    ranked = each.join(common, ["block", "token"]).groupBy("block", "title").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("ranked"))
+    # what must be shared with the shortest possible partner
+    needed = F.ceil(F.lit(least) / 2 * (F.col("n") + F.ceil(F.col("n") * F.lit(least / (2 - least)) - 1e-9)) - 1e-9)
+    first = F.slice(F.transform("ranked", lambda r: r["token"]), 1, (F.col("n") - needed + 1).cast("int"))
+    keyed = spelt.join(ranked, ["block", "title"]).select("block", "title", "n", "tokens", F.explode(first).alias("token"))
+    x, y = (keyed.select("block", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("title", "n", "tokens"))) for s in "ab")
+    met = x.join(y, ["block", "token"]).where("title_a < title_b").drop("token")
+    fits = met.where(2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b"))).dropDuplicates(["block", "title_a", "title_b"])
+    fits = fits.where(2 * F.size(F.array_intersect("tokens_a", "tokens_b")) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    both = written(fits.select("block", F.col("title_a").alias("a"), F.col("title_b").alias("b")), "titles")
+    pairs = both.select("a", "b").distinct()
+    rated = written(pairs.withColumns({"ab": title_ratio("a", "b"), "ba": title_ratio("b", "a")}), "ratios")
+    judged = both.join(rated, ["a", "b"])
+    found = judged.where(F.col("ab") >= least).select("block", "a", "b").unionByName(
+        judged.where(F.col("ba") >= least).select("block", F.col("b").alias("a"), F.col("a").alias("b"))
+    )
+    if not contained:
+        return found
+    grams = F.expr("array_distinct(transform(sequence(1, greatest(char_length(title) - 2, 1)), k -> substring(title, k, 3)))")
+    shorter = F.expr("array_distinct(flatten(transform(sequence(1, greatest(char_length(title), 1)), k -> array(substring(title, k, 1), substring(title, k, 2)))))")
+    own = n.select("block", "title", F.explode(grams).alias("gram"))
+    rare = own.groupBy("block", "gram").agg(F.count("*").alias("f"))
+    probe = own.join(rare, ["block", "gram"]).groupBy("block", "title").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
+    inside = probe.select("block", "gram", F.col("title").alias("b"))
+    # runs of one or two characters are looked up only where a title is as short
+    few = inside.where(F.char_length("gram") < 3).select("block").distinct()
+    listed = own.unionByName(n.join(few, "block", "left_semi").select("block", "title", F.explode(shorter).alias("gram"))).distinct()
+    nested = inside.join(listed.withColumnRenamed("title", "a"), ["block", "gram"]).where((F.col("a") != F.col("b")) & F.contains("a", F.col("b")))
+    turned = nested.select("block", F.col("b").alias("a"), F.col("a").alias("b"))
+    return found.unionByName(nested.select("block", "a", "b")).unionByName(turned).distinct()
+
+
+_LINK = ("i", "j", "block_first", "published_i", "published_j")
+
+
+def _stars(rows: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Links from the first row of a class to its others; ``rows`` have block, pos, published and ``by``."""
+    first = rows.groupBy("block", *by).agg(F.min("pos").alias("i"), F.min_by("published", "pos").alias("published_i"))
+    on = F.col("x.block") == F.col("y.block")
+    for c in by:
+        on = on & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    met = rows.alias("x").join(first.alias("y"), on).where("x.pos <> y.i").select("x.block", "i", F.col("x.pos").alias("j"), "published_i", F.col("x.published").alias("published_j"))
+    return met.join(blocks, "block").select(*_LINK)
+
+
+def _title_links(rows: DataFrame, blocks: DataFrame, passes: DataFrame) -> DataFrame:
+    """Links between rows of different titles: all that ordered unions can need.
+
+    ``passes`` (block, a, b): a row titled b goes with an earlier one titled a.
+    Of all such pairs only those that no earlier links surround are kept: the
+    first rows of both titles, and for later rows of a title the earliest row
+    that they go with.  Links count is rows plus pairs of titles.
     """
-    n = rows.select(
+    first = rows.groupBy("block", "title").agg(F.min("pos").alias("pos"), F.min_by("published", "pos").alias("published"))
+    a = first.select("block", F.col("title").alias("a"), F.col("pos").alias("i"), F.col("published").alias("published_i"))
+    b = first.select("block", F.col("title").alias("b"), F.col("pos").alias("first_b"), F.col("published").alias("published_b"))
+    pairs = passes.join(a, ["block", "a"]).join(b, ["block", "b"])
+    heads = pairs.where("i < first_b").select("block", "i", F.col("first_b").alias("j"), "published_i", F.col("published_b").alias("published_j"))
+    earliest = pairs.where("i < first_b").groupBy("block", "b", "first_b").agg(F.min(F.struct("i", "published_i")).alias("k"))
+    later = rows.select("block", F.col("title").alias("b"), F.col("pos").alias("j"), F.col("published").alias("published_j"))
+    followers = later.join(earliest, ["block", "b"]).where("j <> first_b").select("block", "k.i", "j", "k.published_i", "published_j")
+    # titles that go together only if the second one's row comes first
+    turned = passes.select("block", F.col("a").alias("b"), F.col("b").alias("a"))
+    one_way = pairs.where("i > first_b").join(turned, ["block", "a", "b"], "left_anti")
+    odd = later.join(one_way.select("block", "b", "i", "published_i"), ["block", "b"]).where("j > i").select("block", "i", "j", "published_i", "published_j")
+    return heads.unionByName(followers).unionByName(odd).join(blocks, "block").select(*_LINK)
+
+
+def _compatible(keyed: DataFrame) -> DataFrame:
+    """(block, a, b): titles of one key that contain each other, are similar or of which one is blank."""
+    titles = keyed.select("block", "title").distinct()
+    spelt = similar_titles(titles.where("title <> ''"), COMPATIBLE, True)
+    blank = titles.where("title <> ''").join(titles.where("title = ''").select("block"), "block", "left_semi")
+    return spelt.unionByName(blank.select("block", F.lit("").alias("a"), F.col("title").alias("b"))).unionByName(
+        blank.select("block", F.col("title").alias("a"), F.lit("").alias("b"))
+    )
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "pos", "published", "deadline", "amount_min", "amount_max",
         F.nullif(F.col("dedupe_key"), F.lit("")).alias("key"), text.normalise_title("title").alias("title"),
         text.slug("funder").alias("funder"), F.nullif(text.normalise_url("source_url"), F.lit("")).alias("url"),
     )
 
-    def pairs(block: str) -> DataFrame:
-        a = n.where(F.col(block).isNotNull())
-        names = ("pos", "published", "title", "funder", "deadline", "amount_min", "amount_max")
-        x = a.select(block, *(F.col(c).alias(f"a_{c}") for c in names))
-        y = a.select(block, *(F.col(c).alias(f"b_{c}") for c in names))
-        return x.join(y, block).where("a_pos < b_pos AND NOT (a_published AND b_published)")
-
-    def with_ratio(p: DataFrame, least: float) -> DataFrame:
-        la, lb = F.length("a_title"), F.length("b_title")
-        possible = p.where((2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1)) >= least) & (F.col("a_title") != F.col("b_title")))
-        distinct = possible.select("a_title", "b_title").distinct()
-        rated = distinct.withColumn("ratio", title_ratio("a_title", "b_title"))
-        return p.join(rated, ["a_title", "b_title"], "left").withColumn("ratio", F.coalesce("ratio", F.when(F.col("a_title") == F.col("b_title"), 1.0).otherwise(0.0)))
-
-    one = lambda d, rule, no: d.select(F.col("a_pos").alias("i"), F.col("b_pos").alias("j"), rule.alias("rule"), F.lit(no).alias("rule_no"))
-    blank = (F.col("a_title") == "") | (F.col("b_title") == "")
-    inside = F.contains("a_title", F.col("b_title")) | F.contains("b_title", F.col("a_title"))
-    keyed = with_ratio(pairs("key"), COMPATIBLE)
-    by_key = one(keyed, F.when(blank | inside | (F.col("ratio") >= COMPATIBLE), "dedupe_key").otherwise("key_conflict"), 1)
-
-    titled = n.where("title <> ''").withColumn("block", F.concat_ws("|", "funder", "title"))
-    heads = titled.groupBy("block").agg(F.min("pos").alias("first"), F.min(F.when(~F.col("published"), F.col("pos"))).alias("fresh"))
-    met = titled.join(heads.where("fresh IS NOT NULL"), "block")
-    chain = (
-        met.select(F.col("fresh").alias("x"), "pos")
-        .where("x <> pos")
-        .select(F.least("x", "pos").alias("i"), F.greatest("x", "pos").alias("j"), F.lit("title").alias("rule"), F.lit(2).alias("rule_no"))
+
+def _blocked(n: DataFrame, block: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``block``, first pos of every block)."""
+    rows = n.withColumn("block", block).where("block IS NOT NULL")
+    return rows, rows.groupBy("block").agg(F.min("pos").alias("block_first"))
+
+
+def edges(rows: DataFrame) -> DataFrame:
+    """DED-02, DED-03: (i, j, rule, rule_no, block_first): merges to try; i stands before j.
+
+    ``rows`` have pos (unique), published, dedupe_key, title, funder,
+    source_url, deadline, amount_min, amount_max.  Rows go together by one key
+    if their titles are compatible, by funder and title, and by url if titles
+    are nearly the same or funder, deadline and a stated amount are equal;
+    never two published ones.  Links are tried in the order of rule, first row
+    of the block, i, j.
+
+    No block is joined with itself: rows of one title (or equal facts) link to
+    the first of them, and titles meet by ``similar_titles``.  Every pair left
+    out would close a circle of earlier links, so ordered unions give the same
+    groups as with all pairs, and a key with a third of all rows costs as many
+    links as rows.
+    """
+    n = written(_named(rows), "named")
+
+    def ruled(found: DataFrame, rule: str, no: int) -> DataFrame:
+        kept = found.where("NOT (published_i AND published_j)")
+        return kept.select("i", "j", F.lit(rule).alias("rule"), F.lit(no).alias("rule_no"), "block_first")
+
+    keyed, keys = _blocked(n, F.col("key"))
+    by_key = _stars(keyed, keys, ["title"]).unionByName(_title_links(keyed, keys, _compatible(keyed)))
+    titled, names = _blocked(n, F.when(F.col("title") != "", F.concat_ws("|", "funder", "title")))
+    sited, sites = _blocked(n, F.col("url"))
+    spelt = sited.where("title <> ''")
+    near = similar_titles(spelt.select("block", "title").distinct(), NEAR_IDENTICAL)
+    stated = sited.where("amount_min IS NOT NULL OR amount_max IS NOT NULL")
+    by_url = (
+        _stars(spelt, sites, ["title"])
+        .unionByName(_title_links(spelt, sites, near))
+        .unionByName(_stars(stated, sites, ["funder", "deadline", "amount_min", "amount_max"]))
     )
-    sited = with_ratio(pairs("url"), NEAR_IDENTICAL)
-    facts = (F.col("a_amount_min").isNotNull() | F.col("a_amount_max").isNotNull()) & (F.col("a_funder") == F.col("b_funder"))
-    for c in ("deadline", "amount_min", "amount_max"):
-        facts = facts & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    by_url = one(sited.where((~blank & (F.col("ratio") >= NEAR_IDENTICAL)) | facts), F.lit("source_url"), 3)
-    return by_key.unionByName(chain).unionByName(by_url)
+    return (
+        ruled(by_key, "dedupe_key", 1)
+        .unionByName(ruled(_stars(titled, names, []), "title", 2))
+        .unionByName(ruled(by_url.distinct(), "source_url", 3))
+    )
+
+
+def key_conflicts(rows: DataFrame) -> DataFrame:
+    """DED-04: (dedupe_key, title, pos, conflicts): titles of a key that are unlike others of it, and how many; pos is the title's first row.
+
+    Counted, not listed pair by pair: titles of the key less those it goes with.
+    """
+    keyed, _ = _blocked(_named(rows), F.col("key"))
+    titles = keyed.groupBy("block", "title").agg(F.min("pos").alias("pos"))
+    many = titles.groupBy("block").agg(F.count("*").alias("titles"))
+    passes = _compatible(keyed)
+    # the ratio counts with the earlier row first
+    where = titles.select("block", F.col("title").alias("a"), F.col("pos").alias("i")), titles.select("block", F.col("title").alias("b"), F.col("pos").alias("j"))
+    forward = passes.join(where[0], ["block", "a"]).join(where[1], ["block", "b"]).where("i < j")
+    likes = forward.select("block", F.explode(F.array("a", "b")).alias("title")).groupBy("block", "title").agg(F.count("*").alias("likes"))
+    counted = titles.join(many, "block").join(likes, ["block", "title"], "left")
+    found = counted.withColumn("conflicts", F.col("titles") - 1 - F.coalesce("likes", F.lit(0)))
+    return found.where("conflicts > 0").select(F.col("block").alias("dedupe_key"), "title", "pos", "conflicts")
 
 
 def clusters(rows: DataFrame, links: DataFrame) -> DataFrame:
     """DED-04: (pos, cluster): groups that hold at most one published row; cluster is their first pos.
 
-    Links connect whatever can ever meet, so components of all links come
-    first; inside one, unions are replayed in order (rule, then i, then j) and
-    one that would join two published rows is refused.  A component is as
-    large as the rows that are copies of each other.
+    Unions are tried in the order of ``links``; one that would join two
+    published rows is refused.  See ``plans.forest``: no group has to fit a
+    task.
     """
-    links = written(links.where("rule <> 'key_conflict'").select("i", "j", "rule_no"), "links")
-    roots = connected_components(links.select("i", "j"))
-    flagged = roots.join(rows.select(F.col("pos").alias("node"), "published"), "node")
-    tagged = links.join(roots.select(F.col("node").alias("i"), "root"), "i").select("root", "i", "j", "rule_no", F.lit(None).cast("boolean").alias("published"))
-    nodes = flagged.select("root", F.col("node").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(0).alias("rule_no"), "published")
-
-    def replay(table: pa.Table) -> pa.Table:
-        rows_ = table.select(["i", "j", "rule_no", "published"]).to_pylist()
-        parent = {r["i"]: r["i"] for r in rows_ if r["j"] is None}
-        holds = {r["i"]: r["published"] for r in rows_ if r["j"] is None}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for r in sorted((r for r in rows_ if r["j"] is not None), key=lambda r: (r["rule_no"], r["i"], r["j"])):
-            a, b = find(r["i"]), find(r["j"])
-            if a != b and not (holds[a] and holds[b]):
-                parent[b] = a
-                holds[a] = holds[a] or holds[b]
-        first: dict[int, int] = {}
-        for x in sorted(parent):
-            first.setdefault(find(x), x)
-        return pa.table({"pos": list(parent), "cluster": [first[find(x)] for x in parent]}, schema=pa.schema([("pos", pa.int64()), ("cluster", pa.int64())]))
-
-    grouped = nodes.unionByName(tagged).groupBy("root").applyInArrow(replay, "pos long, cluster long")
-    return rows.select("pos").join(grouped, "pos", "left").withColumn("cluster", F.coalesce("cluster", "pos"))
+    nodes = rows.select(F.col("pos").alias("node"), F.col("published").alias("held"))
+    grouped = constrained_groups(nodes, links, ["rule_no", "block_first"])
+    return grouped.select(F.col("node").alias("pos"), F.col("first").alias("cluster"))
+
+
+def refused(links: DataFrame, grouped: DataFrame) -> DataFrame:
+    """DED-04: the ``links`` whose rows stayed apart, since both groups had a published row."""
+    at = grouped.select(F.col("pos").alias("i"), F.col("cluster").alias("__a")), grouped.select(F.col("pos").alias("j"), F.col("cluster").alias("__b"))
+    return links.join(at[0], "i").join(at[1], "j").where("__a <> __b").select(links.columns)
 
 
 def survivors(rows: DataFrame, grouped: DataFrame) -> DataFrame:

@@ -316,7 +316,8 @@ def sweep_summary(spark, sf_dir):
     return publish.sweep_summary(_changes(spark, sf_dir), _listed(spark, sf_dir), today())
 
 
-@query("""SELECT title AS merge_key, min_by(id, pos) AS id, max_by(summary, (length(summary), -pos)) AS summary, list_transform(list_sort(list({'p': pos, 'e': evidence_id})), lambda x: x.e) AS evidence_ids FROM v_opp GROUP BY 1""")
+@query("""WITH e AS (SELECT title, evidence_id, min(pos) AS at FROM v_opp GROUP BY 1, 2), l AS (SELECT title, list(evidence_id ORDER BY at) AS evidence_ids FROM e GROUP BY 1)
+SELECT v.title AS merge_key, min_by(id, pos) AS id, max_by(summary, (length(summary), -pos)) AS summary, any_value(evidence_ids) AS evidence_ids FROM v_opp v JOIN l ON v.title = l.title GROUP BY 1""")
 def first_wins(spark, sf_dir):
     """DED-01."""
     rows = _opp(spark, sf_dir).withColumn("merge_key", F.col("title"))
@@ -414,30 +415,32 @@ def label_match(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Listings with shared keys, titles and urls, some already published; thinned by key so that blocks stay small."""
-    e = F.expr
-    return _opp(spark, sf_dir).withColumns({
-        "published": e("pos % 4 = 0"), "dedupe_key": e("concat('key-', pos DIV 6)"), "title": e("concat('Programme ', pos DIV 3, CASE WHEN pos % 5 = 0 THEN ' round two' ELSE '' END)"),
-        "source_url": e("concat('https://www.site', pos DIV 4, '.org/', CASE WHEN pos % 2 = 0 THEN '/' ELSE '' END)"), "funder": e("concat('Funder ', pos % 3)"),
-    })
+    """All listings under their own titles, urls, funders and facts, a quarter already published; the key is funder and deadline."""
+    key = F.concat_ws("|", text.slug("funder"), "deadline")
+    return _opp(spark, sf_dir).withColumns({"published": F.expr("pos % 4 = 0"), "dedupe_key": key})
 
 
-_CAND = """c AS (SELECT pos, pos % 4 = 0 AS published, 'key-' || pos // 6 AS k, 'programme ' || pos // 3 || CASE WHEN pos % 5 = 0 THEN ' round two' ELSE '' END AS t FROM v_opp)"""
+_SLUG = r"trim(regexp_replace(lower(funder), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query(f"""WITH {_CAND} SELECT a.pos AS i, b.pos AS j FROM c a JOIN c b ON a.k = b.k AND a.pos < b.pos AND NOT (a.published AND b.published) WHERE contains(a.t, b.t) OR contains(b.t, a.t)""")
+@query(rf"""WITH c AS (SELECT pos, pos % 4 = 0 AS published, {_SLUG} || '|' || deadline AS k, trim(regexp_replace(replace(lower(title), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS t FROM v_opp),
+f AS (SELECT k, t, min(pos) AS pos, min_by(published, pos) AS published FROM c GROUP BY k, t)
+SELECT f.pos AS i, c.pos AS j FROM c JOIN f ON c.k = f.k AND c.t = f.t AND c.pos > f.pos AND NOT (c.published AND f.published)
+UNION SELECT least(a.pos, b.pos), greatest(a.pos, b.pos) FROM f a JOIN f b ON a.k = b.k AND a.t <> b.t AND contains(a.t, b.t) AND NOT (a.published AND b.published)""")
 def dedupe_edges(spark, sf_dir):
-    """DED-02: pairs of one key whose titles contain each other."""
+    """DED-02: links of one key: rows to the first of their title, and first rows of titles that contain each other."""
     rows = _candidates(spark, sf_dir)
-    e = resolve.edges(rows).where("rule IN ('dedupe_key', 'key_conflict')")
-    t = rows.select("pos", F.lower("title").alias("t"))
-    both = e.join(t.select(F.col("pos").alias("i"), F.col("t").alias("a")), "i").join(t.select(F.col("pos").alias("j"), F.col("t").alias("b")), "j")
-    return both.where(F.contains("a", F.col("b")) | F.contains("b", F.col("a"))).select("i", "j")
+    first = rows.select(F.col("dedupe_key").alias("k"), text.normalise_title("title").alias("t"), "pos").groupBy("k", "t").agg(F.min("pos").alias("pos"))
+    named = rows.select("pos", text.normalise_title("title").alias("t")).join(first.select("pos", F.lit(True).alias("head")), "pos", "left")
+    a, b = (named.select(F.col("pos").alias(e), F.col("t").alias(f"t_{e}"), F.col("head").alias(f"head_{e}")) for e in "ij")
+    met = resolve.edges(rows).where("rule_no = 1").join(a, "i").join(b, "j")
+    nested = F.contains("t_i", F.col("t_j")) | F.contains("t_j", F.col("t_i"))
+    return met.where((F.col("t_i") == F.col("t_j")) | (F.col("head_i") & F.col("head_j") & nested)).select("i", "j").distinct()
 
 
 @query()
 def clusters(spark, sf_dir):
-    """DED-02, 03, 04, JON-12: clusters with at most one published row; held against a replay in Python by tests."""
+    """DED-02, 03, 04, JON-12: clusters with at most one published row; held against a replay of all pairs in Python by tests."""
     rows = _candidates(spark, sf_dir)
     return resolve.clusters(rows, resolve.edges(rows))
 

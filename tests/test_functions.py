@@ -246,33 +246,3 @@ def test_profiles_in_blocks_score_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, _fit(spark, "/root/testdata/sf0.001", 3).select("profile_id", "id", "score", "rank").collect()))
     monkeypatch.setattr(ranking, "PROFILE_BLOCK", 1)
     assert sorted(map(tuple, _fit(spark, "/root/testdata/sf0.001", 3).select("profile_id", "id", "score", "rank").collect())) == whole
-
-
-def test_clusters_replay_the_ordered_unions(spark):
-    import random
-
-    rng = random.Random(11)
-    base = ["Community grant", "Community grants", "Sport fund", "Arts programme for young people", ""]
-    data = [
-        (k, k < 12, f"OPP-{k}", rng.choice(base) + rng.choice(["", " two"]), f"F{rng.randrange(3)}", rng.choice(["k1", "k2", "k3", "", None]),
-         rng.choice(["https://a.org/x", "http://www.a.org/x/", "https://b.org", None]), "rolling", rng.choice([None, 10]), rng.choice([None, 20]))
-        for k in range(40)
-    ]
-    names = "pos long, published boolean, id string, title string, funder string, dedupe_key string, source_url string, deadline string, amount_min long, amount_max long"
-    rows = spark.createDataFrame(data, names)
-    links = resolve.edges(rows)
-    got = {r.pos: r.cluster for r in resolve.clusters(rows, links).collect()}
-    parent, holds = {d[0]: d[0] for d in data}, {d[0]: d[1] for d in data}
-
-    def find(x):
-        return x if parent[x] == x else find(parent[x])
-
-    for i, j, _, _ in sorted(((r.i, r.j, r.rule, r.rule_no) for r in links.collect() if r.rule != "key_conflict"), key=lambda r: (r[3], r[0], r[1])):
-        a, b = find(i), find(j)
-        if a != b and not (holds[a] and holds[b]):
-            parent[b], holds[a] = a, holds[a] or holds[b]
-    groups = {}
-    for k in parent:
-        groups.setdefault(find(k), []).append(k)
-    assert got == {k: min(groups[find(k)]) for k in parent}
-    assert all(sum(data[k][1] for k in g) <= 1 for g in groups.values())
