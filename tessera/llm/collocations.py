@@ -5,12 +5,15 @@ row holds the phrases that start at successive places, sorted by piece and
 place, with ``GAP`` where a piece ends or no frequent phrase starts.  Joining
 it with itself on the same piece and the next place, a merge of two sorted
 inputs, gives the occurrences of k + 1 words, since two phrases that start
-side by side share all words between them.  Groups are counted per chunk, then by a
-shuffle; occurrences of frequent groups alone (a semi-join) are stored as the
-next relation.
-
-Words are numbered per chunk, so the shuffles that number them carry distinct
-words of chunks, never texts, and no dictionary has to fit anywhere whole.
+side by side share all words between them.  Groups are counted per chunk, then
+by a shuffle; occurrences of frequent groups alone (a semi-join) are stored as
+the next relation.
+
+The semi-join asks a sieve, a Bloom filter of bounded size over the frequent
+groups, which may let others pass: these only cost room, since every group is
+counted exactly.  Words are numbered by a 64-bit hash of language and word; if
+a frequent word shares its number with another word, the run starts again
+with another seed.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +41,8 @@ CHUNK = 1 << 20
 OPEN_CHUNKS = 4
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
-#: Frequent groups that are broadcast to the join; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bits of a sieve for each group, and at most (2 to the power); beyond that it lets more groups pass.
+SIEVE_BITS, MAX_SIEVE = 16, 27
 GAP = -1
 
 _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
@@ -82,11 +86,13 @@ class _Chunk:
             self.places += len(codes)
         self.runs.append(np.array([GAP], np.int32))
 
-    def row(self, chunk: int, lang: str) -> tuple:
-        codes = np.concatenate(self.runs)
-        codes = squeezed(codes)
-        counts = np.bincount(codes[codes >= 0], minlength=len(self.numbers) - 2)
-        return chunk, lang, [w.decode("utf-8", "surrogatepass") for w in list(self.numbers)[2:]], counts, codes
+    def row(self, chunk: int, lang: str, seed: int, bits: int) -> tuple:
+        codes = squeezed(np.concatenate(self.runs))
+        words = list(self.numbers)[2:]
+        counts = np.bincount(codes[codes >= 0], minlength=len(words))
+        named = lang.encode("utf-8", "surrogatepass") + b"\0"
+        ids = (np.array([xxhash.xxh64_intdigest(named + w, seed) for w in words], np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+        return chunk, lang, [w.decode("utf-8", "surrogatepass") for w in words], ids, counts, codes
 
 
 def squeezed(codes: np.ndarray) -> np.ndarray:
@@ -97,20 +103,22 @@ def squeezed(codes: np.ndarray) -> np.ndarray:
     return codes[keep]
 
 
-_WORDS = "chunk long, lang string, words array<string>, counts array<long>, codes array<int>"
+_WORDS = "chunk long, lang string, words array<string>, ids array<long>, counts array<long>, codes array<int>"
 
 
-def occurrences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Word occurrences of ``docs`` (lang, text) by chunks: distinct words, their counts, and the sorted places."""
+def occurrences(docs: DataFrame, chunk: int = CHUNK, seed: int = 0, bits: int = 64) -> DataFrame:
+    """Word occurrences of ``docs`` (lang, text) by chunks: distinct words, their ids and counts, and the sorted places."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         open_chunks: dict[str, _Chunk] = {}
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "words", "counts", "codes"])
+        def made(lang: str) -> pa.RecordBatch:
+            nonlocal first
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            columns = [pa.array([v], k) for v, k in zip(open_chunks.pop(lang).row(first, lang, seed, bits), kinds)]
+            first += 1
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "words", "ids", "counts", "codes"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -120,12 +128,10 @@ def occurrences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 full = [lang] if open_chunks[lang].places >= chunk else []
                 if sum(c.places for c in open_chunks.values()) >= OPEN_CHUNKS * chunk:
                     full = list(open_chunks)
-                for lang in full:
-                    yield made([open_chunks.pop(lang).row(first, lang)])
-                    first += 1
-        for lang in list(open_chunks):
-            yield made([open_chunks.pop(lang).row(first, lang)])
-            first += 1
+                for x in full:
+                    yield made(x)
+        for x in list(open_chunks):
+            yield made(x)
 
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
@@ -134,154 +140,171 @@ def occurrences(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.mapInArrow(each, _WORDS)
 
 
-def adjacent(ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of codes at neighbouring places as (first, second, count)."""
-    left, right = codes[:-1], codes[1:]
-    met = (left >= 0) & (right >= 0)
-    key, n = np.unique(left[met].astype(np.int64) * len(ids) + right[met], return_counts=True)
-    return key // max(len(ids), 1), key % max(len(ids), 1), n
+def mixed(groups: np.ndarray) -> np.ndarray:
+    """A hash for each row of word ids."""
+    h = np.full(len(groups), 0x9E3779B97F4A7C15, np.uint64)
+    for column in groups.view(np.uint64).T:
+        h = (h ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _bits(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, mask): each hash sets four bits of one 64-bit cell; ``cells`` is a power of two."""
+    mask = np.zeros(len(h), np.uint64)
+    for k in range(4):
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return ((h >> np.uint64(24)) & np.uint64(cells - 1)).astype(np.int64), mask
+
+
+class Sieve:
+    """A Bloom filter over groups of word ids, at most 2 ** ``MAX_SIEVE`` bits however many groups there are."""
 
+    def __init__(self, cells: np.ndarray) -> None:
+        self.cells = cells
 
-def joined(relation: DataFrame) -> DataFrame:
-    """(chunk, first, second, prefix, suffix, n): neighbours in ``relation``, by their codes and by their ids."""
+    def passes(self, groups: np.ndarray) -> np.ndarray:
+        """True for every group that was put in, and for few others."""
+        cell, mask = _bits(mixed(groups), len(self.cells))
+        return self.cells[cell] & mask == mask
+
+
+def sieve(found: DataFrame, k: int) -> Sieve:
+    """The sieve of ``found`` (w1 .. wk); bits are combined by Spark, cells alone come to the driver."""
+    size = 1 << min(max(found.count() * SIEVE_BITS, 64) - 1, (1 << MAX_SIEVE) - 1).bit_length()
+    cells = size // 64
+    names = [f"w{i}" for i in range(1, k + 1)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids = batch.column("ids")[k].values.to_numpy(zero_copy_only=False)
-                first, second, n = adjacent(ids, batch.column("codes")[k].values.to_numpy(zero_copy_only=False))
-                chunk = np.full(len(n), batch.column("chunk")[k].as_py())
-                columns = [chunk, first.astype(np.int32), second.astype(np.int32), ids[first], ids[second], n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["chunk", "first", "second", "prefix", "suffix", "n"]
-                )
-
-    return relation.select("chunk", "ids", "codes").mapInArrow(
-        each, "chunk long, first int, second int, prefix long, suffix long, n long"
-    )
+            groups = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            cell, mask = _bits(mixed(groups), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mask.view(np.int64))], ["cell", "mask"])
 
+    rows = found.select(names).mapInArrow(each, "cell long, mask long")
+    got = rows.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros(cells, np.uint64)
+    table[got["cell"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+    return Sieve(table)
 
-def _sized(found: DataFrame, most: int) -> DataFrame:
-    """Broadcast if there are few of them, which is counted on the stored table."""
-    return F.broadcast(found) if found.count() <= most else found
 
+_RELATION = "ids array<long>, codes array<int>"
 
-_RELATION = "chunk long, ids array<long>, codes array<int>"
 
+def _arrays(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(groups as rows of k word ids, codes) of every chunk."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            ids, codes = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ids", "codes"))
+            yield ids.reshape(-1, k), codes
 
-def _relation(chunk: int, ids: np.ndarray, codes: np.ndarray) -> pa.Table:
-    """One row: ``codes`` holds ids or gaps, and is renumbered to the distinct ``ids`` that occur."""
-    codes = squeezed(codes)
-    used, back = np.unique(codes[codes >= 0], return_inverse=True)
-    small = np.full(len(codes), GAP, np.int32)
-    small[codes >= 0] = back
-    return pa.table(
-        [
-            pa.array([chunk], pa.int64()),
-            pa.array([ids[used]], pa.list_(pa.int64())),
-            pa.array([small], pa.list_(pa.int32())),
-        ],
-        names=["chunk", "ids", "codes"],
-    )
+
+def _stored(groups: np.ndarray, codes: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+    """A chunk narrowed to the groups to ``keep``."""
+    number = np.full(len(groups) + 1, GAP, np.int32)
+    number[:-1][keep] = np.arange(keep.sum())
+    # a gap is -1 and reads the last entry
+    codes = squeezed(number[codes])
+    columns = [pa.array([groups[keep].ravel()], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, ["ids", "codes"])
+
+
+def adjacent(groups: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours joined: (longer groups, their counts, the code of the one at each place but the last, or a gap)."""
+    left, right = codes[:-1], codes[1:]
+    met = (left >= 0) & (right >= 0)
+    key, back, n = np.unique(left[met].astype(np.int64) * len(groups) + right[met], return_inverse=True, return_counts=True)
+    places = np.full(len(left), GAP, np.int32)
+    places[met] = back
+    size = max(len(groups), 1)
+    return np.concatenate([groups[key // size], groups[key % size][:, -1:]], axis=1), n, places
 
 
-_EMPTY = _relation(0, np.zeros(0, np.int64), np.zeros(0, np.int32)).slice(0, 0)
+def narrowed(words: DataFrame, kept: Sieve) -> DataFrame:
+    """The relation of the words that pass."""
+    shared = words.sparkSession.sparkContext.broadcast(kept)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups, codes in _arrays(batches, 1):
+            yield _stored(groups, codes, shared.value.passes(groups))
+
+    return words.select("ids", "codes").mapInArrow(each, _RELATION)
 
 
-def _words_kept(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's words (codes) narrowed to the frequent ones (code, id)."""
-    if not left.num_rows or not right.num_rows:
-        return _EMPTY
-    codes = left["codes"].combine_chunks()[0].values.to_numpy(zero_copy_only=False)
-    code, ids = right["code"].to_numpy(), right["id"].to_numpy()
-    place = np.full(max(codes.max(initial=0), code.max()) + 1, GAP, np.int64)
-    place[code] = np.arange(len(ids))
-    return _relation(left["chunk"][0].as_py(), ids, np.where(codes >= 0, place[codes], GAP))
+def joined(relation: DataFrame, k: int) -> DataFrame:
+    """(w1 .. wk+1, n): groups of one word more, counted by chunk."""
+    names = [f"w{i}" for i in range(1, k + 2)]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups, codes in _arrays(batches, k):
+            longer, n, _ = adjacent(groups, codes)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in longer.T), pa.array(n.astype(np.int64))], [*names, "n"])
 
+    return relation.mapInArrow(each, ", ".join(f"{c} long" for c in (*names, "n")))
+
+
+def extended(relation: DataFrame, k: int, kept: Sieve) -> DataFrame:
+    """The relation of k + 1 words: neighbours joined, narrowed to those that pass."""
+    shared = relation.sparkSession.sparkContext.broadcast(kept)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups, codes in _arrays(batches, k):
+            longer, _, places = adjacent(groups, codes)
+            yield _stored(longer, places, shared.value.passes(longer))
 
-def _pairs_kept(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's neighbours narrowed to the frequent pairs (first, second, id)."""
-    if not left.num_rows or not right.num_rows:
-        return _EMPTY
-    codes = left["codes"].combine_chunks()[0].values.to_numpy(zero_copy_only=False)
-    width = len(left["ids"].combine_chunks()[0].values)
-    ids = right["id"].to_numpy()
-    key = right["first"].to_numpy().astype(np.int64) * width + right["second"].to_numpy()
-    order = np.argsort(key)
-    key, ids = key[order], ids[order]
-    met = (codes[:-1] >= 0) & (codes[1:] >= 0)
-    here = codes[:-1].astype(np.int64) * width + codes[1:]
-    at = np.minimum(np.searchsorted(key, here), len(key) - 1)
-    return _relation(left["chunk"][0].as_py(), ids, np.where(met & (key[at] == here), at, GAP))
+    return relation.mapInArrow(each, _RELATION)
 
 
-def _frequent(counted: DataFrame, min_count: int) -> DataFrame:
-    """Groups with enough occurrences, numbered, stored."""
-    enough = counted.where(F.col("f") >= min_count)
-    return written(enough.withColumn("id", F.monotonically_increasing_id()), "groups")
+def _counted_words(docs: DataFrame, min_count: int, chunk: int, seeds: range, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, frequent words as lang, phrase, w1, f), with ids under which no frequent word meets another word."""
+    for seed in seeds:
+        stored = written(occurrences(docs, chunk, seed, bits), "occurrences")
+        each = stored.select("lang", F.explode(F.arrays_zip("words", "ids", "counts")).alias("w"))
+        counted = written(
+            each.groupBy("lang", F.col("w.words").alias("phrase"), F.col("w.ids").alias("w1")).agg(F.sum("w.counts").alias("f")), "words"
+        )
+        shared = counted.groupBy("w1").agg(F.count("*").alias("n"), F.max("f").alias("most"))
+        if shared.where((F.col("n") > 1) & (F.col("most") >= min_count)).isEmpty():
+            return stored, counted.where(F.col("f") >= min_count)
+    raise RuntimeError("no seed keeps the words apart")
 
 
 def phrases(
-    docs: DataFrame,
-    min_count: int = MIN_COUNT,
-    max_words: int = MAX_WORDS,
-    chunk: int = CHUNK,
-    broadcast_rows: int = BROADCAST_ROWS,
+    docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, chunk: int = CHUNK, seeds: range = range(8)
 ) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) and the frequent phrases of 1, 2 .. ``max_words`` words.
 
-    Phrases: id, lang, phrase, last (its last word), f, prefix and suffix (ids
-    of the phrases without the last and the first word), head and tail (f of
-    its beginnings and endings by length, itself included).
+    Phrases: words (array of ids), lang, phrase, last (its last word), f, head
+    and tail (f of its beginnings and endings by length, itself included).
     """
-    stored = written(occurrences(docs, chunk), "occurrences")
+    stored, frequent = _counted_words(docs, min_count, chunk, seeds)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
     sizes = stored.groupBy("lang").agg(F.sum(total).alias("n"))
-
-    counted = stored.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    counted = counted.groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("f"))
     own = F.array("f")
-    level = _frequent(counted, min_count).select("id", "lang", "phrase", F.col("phrase").alias("last"), "f", own.alias("head"), own.alias("tail"))
-    levels = [level]
-
-    # what goes back to a chunk are the ids of its own frequent words
-    words = stored.select("chunk", "lang", F.posexplode("words").alias("code", "phrase"))
-    known = words.join(_sized(level.select("lang", "phrase", "id"), broadcast_rows), ["lang", "phrase"])
-    relation = (
-        stored.select("chunk", "codes")
-        .groupBy("chunk")
-        .cogroup(known.select(F.col("chunk").alias("of"), "code", "id").groupBy("of"))
-        .applyInArrow(_words_kept, _RELATION)
-    )
-    for k in range(2, max_words + 1):
-        relation = written(relation, "relation")
-        pairs = joined(relation)
-        found = _frequent(pairs.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")), min_count)
-        p, s = level.alias("p"), level.alias("s")
-        longer = (
-            found.alias("g")
-            .join(p, F.col("g.prefix") == F.col("p.id"))
-            .join(s, F.col("g.suffix") == F.col("s.id"))
-            .select(
-                "g.id",
-                "p.lang",
-                F.concat_ws(" ", "p.phrase", "s.last").alias("phrase"),
-                "s.last",
-                "g.f",
-                F.concat("p.head", F.array("g.f")).alias("head"),
-                F.concat("s.tail", F.array("g.f")).alias("tail"),
-                "g.prefix",
-                "g.suffix",
-            )
+    frequent = written(frequent, "groups")
+    level = frequent.select(F.array("w1").alias("words"), "lang", "phrase", F.col("phrase").alias("last"), "f", own.alias("head"), own.alias("tail"))
+    levels, relation = [level], None
+    for k in range(1, max_words):
+        kept = sieve(frequent, k)
+        relation = written(narrowed(stored, kept) if k == 1 else extended(relation, k - 1, kept), "relation")
+        names = [f"w{i}" for i in range(1, k + 2)]
+        counted = joined(relation, k).groupBy(*names).agg(F.sum("n").alias("f"))
+        frequent = written(counted.where(F.col("f") >= min_count), "groups")
+        g = frequent.select("f", F.array(*names).alias("words"), F.array(*names[:-1]).alias("prefix"), F.array(*names[1:]).alias("suffix"))
+        p = level.select(F.col("words").alias("prefix"), "lang", "phrase", "head")
+        s = level.select(F.col("words").alias("suffix"), "last", "tail")
+        longer = g.join(p, "prefix").join(s, "suffix").select(
+            "words",
+            "lang",
+            F.concat_ws(" ", "phrase", "last").alias("phrase"),
+            "last",
+            "f",
+            F.concat("head", F.array("f")).alias("head"),
+            F.concat("tail", F.array("f")).alias("tail"),
         )
         level = written(longer, "phrases")
         levels.append(level)
-        if k < max_words:
-            small = _sized(found.select("prefix", "suffix", "id"), broadcast_rows)
-            kept = pairs.join(small, ["prefix", "suffix"]).select(F.col("chunk").alias("of"), "first", "second", "id")
-            relation = (
-                relation.groupBy("chunk").cogroup(kept.groupBy("of")).applyInArrow(_pairs_kept, _RELATION)
-            )
     return sizes, levels
 
 
@@ -293,13 +316,12 @@ def _not_absorbed(level: DataFrame, longer: DataFrame | None, absorbed: int) ->
     """
     if longer is None:
         return level
-    around = longer.select(F.col("prefix").alias("id"), F.col("f").alias("most")).unionByName(
-        longer.select(F.col("suffix").alias("id"), F.col("f").alias("most"))
-    )
-    most = around.groupBy("id").agg(F.max("most").alias("most"))
+    inner = lambda start: F.slice("words", start, F.size("words") - 1).alias("words")
+    around = longer.select(inner(1), F.col("f").alias("most")).unionByName(longer.select(inner(2), F.col("f").alias("most")))
+    most = around.groupBy("words").agg(F.max("most").alias("most"))
     exact = "decimal(38,0)"
     inside = F.lit(100).cast("decimal(3,0)") * F.col("most").cast(exact) >= F.lit(absorbed).cast("decimal(3,0)") * F.col("f").cast(exact)
-    return level.join(most, "id", "left").where(F.col("most").isNull() | ~inside)
+    return level.join(most, "words", "left").where(F.col("most").isNull() | ~inside)
 
 
 def mine(
@@ -309,7 +331,7 @@ def mine(
     absorbed: int = ABSORBED,
     top: int = TOP,
     chunk: int = CHUNK,
-    broadcast_rows: int = BROADCAST_ROWS,
+    seeds: range = range(8),
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases.
 
@@ -324,7 +346,7 @@ def mine(
     read whole, in slices of bounded size.  Phrases with equal score and count
     are ordered by their bytes.  ``top`` is the length of the report.
     """
-    sizes, levels = phrases(docs, min_count, max_words, chunk, broadcast_rows)
+    sizes, levels = phrases(docs, min_count, max_words, chunk, seeds)
     candidates = None
     for k in range(2, max_words + 1):
         longer = levels[k] if k < max_words else None

@@ -51,11 +51,13 @@ def texts(seed, n=80):
     return rows
 
 
-@pytest.mark.parametrize("chunk,broadcast_rows", [(50, 200_000), (1 << 20, 0)])
-def test_follows_the_definition(spark, chunk, broadcast_rows):
+@pytest.mark.parametrize("chunk,sieve", [(50, 27), (1 << 20, 6)])
+def test_follows_the_definition(spark, chunk, sieve, monkeypatch):
+    # with a sieve of 64 bits nearly every group passes, and results stay exact
+    monkeypatch.setattr(collocations, "MAX_SIEVE", sieve)
     rows = texts(chunk) + [("en", None), ("en", ""), ("fr", " \n"), ("en", "a " * 500), ("en", "a " * 500)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "lang string, text string, n long").repartition(3)
-    got = collocations.mine(frame, 4, 4, 80, 40, chunk, broadcast_rows).collect()
+    got = collocations.mine(frame, 4, 4, 80, 40, chunk).collect()
     assert sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in got) == plain(rows, 4, 40)
 
 
@@ -68,20 +70,36 @@ def test_slices_of_a_long_text_join(spark, monkeypatch):
     whole = collocations._Chunk()
     monkeypatch.setattr(collocations, "SLICE", 1 << 20)
     whole.add(text.encode())
-    assert all(np.array_equal(a, b) for a, b in zip(chunk.row(0, "x")[2:], whole.row(0, "x")[2:]))
+    assert all(np.array_equal(a, b) for a, b in zip(chunk.row(0, "x", 0, 64)[2:], whole.row(0, "x", 0, 64)[2:]))
     assert b"".join(collocations._slices(b"ab cd " * 9)) == b"ab cd " * 9
 
 
 def test_large_counts_are_exact(spark):
-    level = spark.createDataFrame(
-        [(1, 9_000_000_000_000_000_000, 2)], "id long, f long, lang long"
-    )
-    longer = spark.createDataFrame([(1, 3, 7_200_000_000_000_000_000)], "prefix long, suffix long, f long")
+    level = spark.createDataFrame([([1, 2], 9_000_000_000_000_000_000, 2)], "words array<long>, f long, lang long")
+    longer = spark.createDataFrame([([1, 2, 3], 7_200_000_000_000_000_000)], "words array<long>, f long")
     assert collocations._not_absorbed(level, longer, 80).count() == 0
-    less = spark.createDataFrame([(1, 3, 7_199_999_999_999_999_999)], "prefix long, suffix long, f long")
+    less = spark.createDataFrame([([3, 1, 2], 7_199_999_999_999_999_999)], "words array<long>, f long")
     assert collocations._not_absorbed(level, less, 80).count() == 1
 
 
+def test_a_sieve_passes_what_was_put_in(spark):
+    rng = np.random.default_rng(3)
+    inside, outside = rng.integers(-(1 << 62), 1 << 62, (2, 5000, 3))
+    found = spark.createDataFrame([tuple(map(int, r)) for r in inside], "w1 long, w2 long, w3 long")
+    kept = collocations.sieve(found, 3)
+    assert kept.passes(inside).all() and kept.passes(outside).mean() < 0.03
+    assert not collocations.sieve(found.limit(0), 3).passes(outside).any()
+
+
+def test_words_that_share_a_number_take_another_seed(spark):
+    frame = spark.createDataFrame([("en", "alpha beta " * 9 + "gamma")], "lang string, text string")
+    _, frequent = collocations._counted_words(frame, 4, 100, range(40), 3)
+    assert sorted(r.phrase for r in frequent.collect()) == ["alpha", "beta"]
+    # three words cannot have numbers of their own in one bit
+    with pytest.raises(RuntimeError):
+        collocations._counted_words(frame, 4, 100, range(2), 1)
+
+
 def test_empty_table(spark):
     assert collocations.mine(spark.createDataFrame([], "lang string, text string")).count() == 0
 
