@@ -15,27 +15,28 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
-#: Rule -> SQL condition over the measurements that means failure; a rule's bit is its place here.
+#: Version of the rules below, stored beside the bits; a change of a condition or a bit takes a new one.
+RULE_SET = "r1"
+#: Rule -> (its bit, SQL condition over the measurements that means failure). Bits are never reused.
 RULES = {
-    "few_words": "n_words < 50",
-    "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "100 * n_dup_lines > 40 * n_lines",
-    "word_length": "word_chars < 2 * n_words OR word_chars > 14 * n_words",
+    "few_words": (0, "n_words < 50"),
+    "repeated_words": (1, "100 * n_repeat_words > 50 * n_words"),
+    "symbols": (2, "10 * n_symbols > n_words"),
+    "repeated_lines": (3, "100 * n_dup_lines > 40 * n_lines"),
+    "word_length": (4, "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
 }
 BASE = ("few_words", "repeated_words")
-#: Version -> the rules that reject a document.
+#: Version -> (rule set it is written for, the rules that reject a document).
 POLICIES = {
-    "base": BASE,
-    "v1": tuple(RULES),
+    "base": ("r1", BASE),
+    "v1": ("r1", tuple(RULES)),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def mask(rules: tuple[str, ...] | list[str]) -> int:
     """The bits of the named rules."""
-    names = list(RULES)
-    return sum(1 << names.index(r) for r in dict.fromkeys(rules))
+    return sum(1 << RULES[r][0] for r in dict.fromkeys(rules))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -98,8 +99,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split("__text", "\n"), lambda s: F.btrim(s, F.lit(SPACES)) != "").alias("__lines"),
     )
     words, lines = F.col("__words"), F.col("__lines")
-    return split.select(
-        *kept,
+    measures = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -107,27 +107,38 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(F.size(words) < 3, F.lit(0)).otherwise(_repeat_words(words)).cast("long").alias("n_repeat_words"),
     )
+    # a generator of one row: filters on the measurements stay above it, so that each is made once
+    return split.select(*kept, F.inline(F.array(measures)))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``measure`` plus ``fail_bits`` (long): bit k is set if rule k failed.
+    """``measure`` plus ``fail_bits`` (long), a bit for each failed rule, and ``rule_set``, the version of the bits.
 
-    Store the ledger (``session.written`` or a table) before filtering on it:
-    a filter on columns that are not stored is pushed below them and would
-    evaluate every rule again.
+    Every rule is evaluated once a row, whether the ledger is stored or
+    filtered at once.
     """
     bits = F.lit(0).cast("long")
-    for k, condition in enumerate(RULES.values()):
-        bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs, text).withColumn("fail_bits", bits)
+    for bit, condition in RULES.values():
+        bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return measure(docs, text).withColumns({"fail_bits": bits, "rule_set": F.lit(RULE_SET)})
+
+
+def _bits_of(names: tuple[str, ...], rule_set: str) -> Column:
+    """The named bits of an entry; an error where it was written under another rule set."""
+    other = F.raise_error(F.concat(F.lit(f"the policy is for rule set {rule_set}, the ledger has "), F.coalesce("rule_set", F.lit("none"))))
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask(names)))
+    return F.when(F.col("rule_set") == rule_set, bits).otherwise(other.cast("long"))
 
 
 def apply_policy(entries: DataFrame, version: str = "v1") -> DataFrame:
-    """Add ``base_failed`` and ``kept`` (booleans) for one policy version; reads stored bits only."""
-    failed = lambda names: F.col("fail_bits").bitwiseAND(F.lit(mask(names))) != 0
-    return entries.withColumns(
-        {"base_failed": failed(BASE), "kept": ~(failed(BASE) | failed(POLICIES[version]))}
-    )
+    """Add ``base_failed`` and ``kept`` (booleans) for one policy version; reads stored bits only.
+
+    Entries of another rule set than the policy's are an error: their bits
+    mean other rules.
+    """
+    rule_set, names = POLICIES[version]
+    failed = lambda rules: _bits_of(rules, rule_set) != 0
+    return entries.withColumns({"base_failed": failed(BASE), "kept": ~failed((*BASE, *names))})
 
 
 def ablation(entries: DataFrame) -> DataFrame:
@@ -136,20 +147,20 @@ def ablation(entries: DataFrame) -> DataFrame:
     ``failed``: documents whose bit is set; ``only_this``: documents the policy
     rejects for this rule alone, which leaving it out would keep;
     ``also_without``: those it rejects anyway.  One bitwise aggregation over
-    the distinct bit patterns, at most 2 to the number of rules.  An empty
-    ledger gives zeros.
+    the distinct bit patterns, at most 2 to the number of rules for each rule
+    set; a policy counts the entries of its own.  An empty ledger gives zeros.
     """
     spark = entries.sparkSession
-    patterns = entries.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    patterns = entries.groupBy("rule_set", "fail_bits").agg(F.count("*").alias("n"))
     grid = spark.createDataFrame(
-        [(p, r, mask(names), mask([r])) for p, names in POLICIES.items() for r in names],
-        "policy string, rule string, all_bits long, bit long",
+        [(p, s, r, mask(names), mask([r])) for p, (s, names) in POLICIES.items() for r in names],
+        "policy string, rule_set string, rule string, all_bits long, bit long",
     )
     hit = F.col("fail_bits").bitwiseAND(F.col("bit")) != 0
     alone = F.col("fail_bits").bitwiseAND(F.col("all_bits")) == F.col("bit")
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
     return (
-        grid.join(F.broadcast(patterns), hit, "left")
+        grid.join(F.broadcast(patterns), ["rule_set"], "left")
         .groupBy("policy", "rule")
         .agg(count(hit)("failed"), count(hit & alone)("only_this"), count(hit & ~alone)("also_without"))
     )

@@ -19,7 +19,7 @@ from tessera.llm import (
     variants,
     warc,
 )
-from tessera.session import table
+from tessera.session import table, written
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does in each policy, from a stored ledger."""
+    stored = written(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "ledger")
+    return quality.ablation(stored)
+
+
 def op6_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -101,12 +107,37 @@ QUERIES = {
         op11_spelling_variants,
         op12_quality_model,
         op13_collocations,
+        quality_ablation,
     )
 }
 
 _KNOWN = ", ".join(sorted({f"('{k}', '{licenses.digest_of(t)}')" for k, t in licenses.KNOWN}))
 _SPELLINGS = ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS)
 
+_LEDGER = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM documents
+), win AS (
+  SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM win) WHERE k > 1
+), cov AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY r
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN cov USING (r)
+), b AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 16 ELSE 0 END)::BIGINT AS fail_bits FROM m
+)
+"""
+
 ORACLE_SQL = {
     "op1_warc_revisits": r"""
 WITH p AS (
@@ -138,29 +169,14 @@ WITH u AS (
 )
 SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """,
-    "op5_quality_rules": r"""
-WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
-         [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
-         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
-  FROM documents
-), win AS (
-  SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
-), rep AS (
-  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM win) WHERE k > 1
-), cov AS (
-  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY r
-), m AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
-  FROM d LEFT JOIN cov USING (r)
-), b AS (
-  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END
-    + CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 16 ELSE 0 END)::BIGINT AS fail_bits FROM m
+    "op5_quality_rules": _LEDGER + r"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+""",
+    "quality_ablation": _LEDGER + r""", p(policy, all_bits) AS (VALUES ('base', 3), ('v1', 31)), r(rule, bit) AS (
+  VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & all_bits = bit) AS only_this,
+       count(*) FILTER (fail_bits & bit <> 0 AND fail_bits & all_bits <> bit) AS also_without
+FROM p JOIN r ON all_bits & bit <> 0 LEFT JOIN b ON true GROUP BY policy, rule
 """,
     "op9_license_scan": rf"""
 WITH known(license_id, digest) AS (VALUES {_KNOWN}), d AS (

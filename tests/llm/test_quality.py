@@ -3,6 +3,9 @@
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.llm import quality
 from tessera.session import written
 
@@ -37,7 +40,7 @@ def test_ledger_policies_and_ablation(spark):
         assert r.base_failed == bool(r.fail_bits & 3) and r.kept == (r.fail_bits == 0)
     bits = [r.fail_bits for r in got]
     table = {(r.policy, r.rule): (r.failed, r.only_this, r.also_without) for r in quality.ablation(entries).collect()}
-    for policy, rules in quality.POLICIES.items():
+    for policy, (_, rules) in quality.POLICIES.items():
         for rule in rules:
             b, all_bits = quality.mask([rule]), quality.mask(rules)
             failed = [x for x in bits if x & b]
@@ -45,3 +48,23 @@ def test_ledger_policies_and_ablation(spark):
             assert table[policy, rule] == (len(failed), len(alone), len(failed) - len(alone))
     assert quality.ledger(docs.limit(0)).collect() == []
     assert quality.ablation(entries.limit(0)).count() == len(table)
+
+
+def test_bits_belong_to_a_rule_set(spark):
+    docs = spark.createDataFrame([(1, LONG)], "doc_id long, text string")
+    entries = quality.ledger(docs)
+    assert [r.rule_set for r in entries.collect()] == ["r1"]
+    bits = [bit for bit, _ in quality.RULES.values()]
+    assert len(set(bits)) == len(bits) and quality.mask(["symbols", "few_words", "symbols"]) == 5
+    old = entries.withColumn("rule_set", F.lit("r0"))
+    with pytest.raises(Exception, match="rule set r1, the ledger has r0"):
+        quality.apply_policy(old).collect()
+    assert {r.failed for r in quality.ablation(old).collect()} == {0}
+
+
+def test_a_filter_on_bits_measures_once(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
+    kept = quality.apply_policy(quality.ledger(docs)).where("kept")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Generate") and plan.count("Generate inline") == 1
+    assert [r.doc_id for r in kept.collect()] == [k for k, t in enumerate(TEXTS) if plain(t)[-1] == 0]
