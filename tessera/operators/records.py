@@ -96,14 +96,6 @@ def merge_register(new: DataFrame, known: DataFrame, aliases: DataFrame, shared_
     return every.groupBy("final").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_set("how")).alias("matched_by")).withColumnRenamed("final", "name")
 
 
-def subscriber_counts(outcomes: DataFrame) -> DataFrame:
-    """AGG-17: addresses by the state that their last effective event left."""
-    effect = outcomes.where(F.col("outcome").isin("new", "resubscribed", "resent", "confirmed", "unsubscribed"))
-    last = effect.groupBy("email").agg(F.max_by("outcome", F.struct("ts", "event_id")).alias("o"))
-    state = F.when(F.col("o") == "confirmed", "confirmed").when(F.col("o") == "unsubscribed", "unsubscribed").otherwise("pending")
-    return last.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
-
-
 def _merged(previous: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of both, published ones flagged; survivors of their clusters)."""
     rows = previous.withColumn("published", F.lit(True)).unionByName(candidates.withColumn("published", F.lit(False)))

@@ -81,10 +81,20 @@ def merged_register(spark, sf_dir):
     return records.merge_register(new, known, aliases, ())
 
 
+#: Seconds as of which subscribers are counted and ends are told: four days and six weeks after the last event.
+COUNTED_AT, ENDED_BY = 1_707_000_000, 1_710_000_000
+
+
 @query()
 def subscriber_counts(spark, sf_dir):
-    """AGG-17, over the outcomes of STM-04."""
-    return records.subscriber_counts(states.lifecycles(_sub_events(spark, sf_dir)))
+    """AGG-17: counts as of a date over the outcomes of STM-04, records that have ended left out."""
+    return states.subscriber_counts(states.lifecycles(_sub_events(spark, sf_dir)), F.lit(float(COUNTED_AT)))
+
+
+@query()
+def subscriber_ends(spark, sf_dir):
+    """STM-05: records that have expired or were purged before a date, one row an end."""
+    return states.ends(states.lifecycles(_sub_events(spark, sf_dir)), F.lit(float(ENDED_BY)))
 
 
 @query()

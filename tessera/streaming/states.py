@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -28,15 +28,20 @@ def admit(log: deque, now: float, limit: int, window: float) -> float | None:
     return None
 
 
+def end_of(state: dict | None) -> tuple[str, float] | None:
+    """STM-05: how and when a record ends if nothing happens: pending ones expire, unsubscribed ones are purged."""
+    if state is None or (state["left"] is None and state["confirmed"] is not None):
+        return None
+    return ("expired", state["sent"] + PENDING_TTL) if state["left"] is None else ("purged", state["left"] + RETENTION)
+
+
 def lifecycle(state: dict | None, event: str, now: float) -> tuple[dict | None, str]:
     """STM-04, STM-05: next state of an address and the outcome of an event.
 
-    State: created, sent, confirmed, left (seconds or None).  Pending records
-    end after 7 days, unsubscribed ones after 30; both before the event acts.
+    State: created, sent, confirmed, left (seconds or None).  A record that
+    has outlived its end (``end_of``) is gone before the event acts.
     """
-    if state and state["left"] is not None and now - state["left"] > RETENTION:
-        state = None
-    elif state and state["left"] is None and state["confirmed"] is None and now - state["sent"] > PENDING_TTL:
+    if (end := end_of(state)) and now > end[1]:
         state = None
     phase = None if state is None else "left" if state["left"] is not None else "confirmed" if state["confirmed"] is not None else "pending"
     if event == "subscribe":
@@ -162,46 +167,73 @@ def admission_stream(events: DataFrame, limit: int, window: float, late: str = "
 
 
 def lifecycle_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """STM-04, STM-05 on a stream of (email, event, ts in seconds, event_id): one row an event with its outcome.
+    """STM-04, STM-05 on a stream of (email, event, ts in seconds, event_id): (email, event_id, outcome, ts), a row an event.
 
-    A pending or unsubscribed record that the watermark has outlived is
-    removed and told as a row with outcome ``purged`` and no event_id, so
-    purges can be counted.
+    The end of a record is a row of its own, without event_id and at the time
+    of the end: ``expired`` for a pending one, ``purged`` for an unsubscribed
+    one.  It comes once the watermark has passed the end, or with the event
+    that finds the record outlived.
     """
     names = ("created", "sent", "confirmed", "left")
 
     def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"email": [key[0]], "event_id": pd.array([None], "Int64"), "outcome": ["purged"]})
-            return
         record = dict(zip(names, state.get)) if state.exists else None
-        every = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for t, e, what in zip(every["ts"], every["event_id"], every["event"]):
-            record, outcome = lifecycle(record, what, float(t))
-            out.append((key[0], int(e), outcome))
-        if record is None:
-            if state.exists:
-                state.remove()
+        if state.hasTimedOut:
+            kind, at = end_of(record)
+            out.append((key[0], None, kind, at))
+            state.remove()
         else:
-            state.update(tuple(record[n] for n in names))
-            if record["left"] is not None:
-                end = _times(record["left"] + RETENTION)
-            elif record["confirmed"] is None:
-                end = _times(record["sent"] + PENDING_TTL)
+            every = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            for t, e, what in zip(every["ts"], every["event_id"], every["event"]):
+                if (end := end_of(record)) and t > end[1]:
+                    out.append((key[0], None, *end))
+                record, outcome = lifecycle(record, what, float(t))
+                out.append((key[0], int(e), outcome, float(t)))
+            if record is None:
+                if state.exists:
+                    state.remove()
             else:
-                end = 0
-            if end > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(end)
-        yield pd.DataFrame(out, columns=["email", "event_id", "outcome"]).astype({"event_id": "Int64"})
+                state.update(tuple(record[n] for n in names))
+                end = end_of(record)
+                if end and _times(end[1]) > state.getCurrentWatermarkMs():
+                    state.setTimeoutTimestamp(_times(end[1]))
+        yield pd.DataFrame(out, columns=["email", "event_id", "outcome", "ts"]).astype({"event_id": "Int64"})
 
     timed = events.withColumn("__time", F.timestamp_millis((F.col("ts") * 1000).cast("long"))).withWatermark("__time", late)
     return timed.groupBy("email").applyInPandasWithState(
-        step, "email string, event_id long, outcome string", "created double, sent double, confirmed double, left double", "append", GroupStateTimeout.EventTimeTimeout
+        step, "email string, event_id long, outcome string, ts double", "created double, sent double, confirmed double, left double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def purges(outcomes: DataFrame) -> DataFrame:
-    """STM-05, AGG-17: (purged): records that ended without an event."""
-    return outcomes.where("outcome = 'purged'").agg(F.count("*").alias("purged"))
+def _spells(outcomes: DataFrame, as_of: Column) -> DataFrame:
+    """What each change of a record led to: email, outcome, ts, the next change's outcome (null for the last), ``end`` and ``outlived``."""
+    changed = outcomes.where(F.col("outcome").isin("new", "resubscribed", "resent", "confirmed", "unsubscribed") & (F.col("ts") <= as_of))
+    order = Window.partitionBy("email").orderBy("ts", "event_id")
+    spells = changed.select("email", "outcome", "ts", F.lead("outcome").over(order).alias("next"))
+    end = F.when(F.col("outcome") == "unsubscribed", F.col("ts") + RETENTION).when(F.col("outcome") != "confirmed", F.col("ts") + PENDING_TTL)
+    # after the end of a record the address is new again
+    outlived = F.when(F.col("next").isNull(), as_of > end).otherwise(F.col("next") == "new")
+    return spells.withColumn("end", end).withColumn("outlived", F.coalesce(outlived, F.lit(False)))
+
+
+def ends(outcomes: DataFrame, as_of: Column) -> DataFrame:
+    """STM-05: (email, outcome, ts): records that have ended before ``as_of`` (seconds), as ``lifecycle_stream`` tells them."""
+    kind = F.when(F.col("outcome") == "unsubscribed", "purged").otherwise("expired")
+    return _spells(outcomes, as_of).where("outlived").select("email", kind.alias("outcome"), F.col("end").alias("ts"))
+
+
+def subscriber_counts(outcomes: DataFrame, as_of: Column) -> DataFrame:
+    """AGG-17: (state, n) as of a time in seconds, always of three states.
+
+    ``outcomes`` are those of ``lifecycles`` or ``lifecycle_stream`` with ts.
+    A pending record that has expired is not counted; an unsubscribed one
+    still is when it has been purged.
+    """
+    spells = _spells(outcomes, as_of)
+    state = F.when(F.col("outcome") == "confirmed", "confirmed").when(F.col("outcome") == "unsubscribed", "unsubscribed").otherwise("pending")
+    last = F.col("next").isNull() & ~F.col("outlived")
+    purged = F.col("outlived") & (F.col("outcome") == "unsubscribed")
+    counted = spells.select(state.alias("state"), (last | purged).cast("long").alias("one")).groupBy("state").agg(F.sum("one").alias("n"))
+    every = outcomes.sparkSession.createDataFrame([("confirmed",), ("pending",), ("unsubscribed",)], "state string")
+    return every.join(counted, "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))

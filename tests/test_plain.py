@@ -5,12 +5,14 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from test_states import plain_counts
 
 from tessera import catalog
 from tessera.operators import extract, filters, publish, records, resolve, verify
 from tessera.queries.documents import _sub_events
 from tessera.queries.functions import ZONE, today
 from tessera.queries.listings import _candidates
+from tessera.queries.records import COUNTED_AT, ENDED_BY
 from tessera.streaming import states
 
 SF = "/root/testdata/sf0.001"
@@ -29,15 +31,11 @@ def test_subscriber_states_and_counts(spark):
     want = replayed(spark)
     got = {r.event_id: (r.email, r.outcome) for r in catalog.QUERIES["subscriber_states"](spark, SF).collect()}
     assert got == want
-    effect = {"new": "pending", "resubscribed": "pending", "resent": "pending", "confirmed": "confirmed", "unsubscribed": "unsubscribed"}
-    when = {r.event_id: r.ts for r in _sub_events(spark, SF).collect()}
-    last = {}
-    for k in sorted(want, key=lambda k: (when[k], k)):
-        email, outcome = want[k]
-        if outcome in effect:
-            last[email] = effect[outcome]
-    counts = {r.state: r.n for r in catalog.QUERIES["subscriber_counts"](spark, SF).collect()}
-    assert counts == Counter(last.values())
+    events = [(r.email, r.event, r.ts, r.event_id) for r in _sub_events(spark, SF).collect()]
+    counts = plain_counts(events, COUNTED_AT)
+    assert {r.state: r.n for r in catalog.QUERIES["subscriber_counts"](spark, SF).collect()} == counts and counts["confirmed"]
+    ends = catalog.QUERIES["subscriber_ends"](spark, SF).collect()
+    assert {r.outcome for r in ends} == {"expired", "purged"} and all(r.ts < ENDED_BY for r in ends)
 
 
 def test_eligible_entities(spark):

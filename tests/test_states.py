@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.streaming import states
 
@@ -84,8 +85,75 @@ def test_the_stream_purges_what_its_time_has_outlived(spark, one_partition, tmp_
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = drain(spark, states.lifecycle_stream(stream), tmp_path / "p", "purge")
-    assert sorted(r.email for r in got.where("outcome = 'purged'").collect()) == ["left", "pending"]
-    assert states.purges(got).first().purged == 2
+    told = sorted((r.email, r.outcome, r.ts) for r in got.where("event_id IS NULL").collect())
+    assert told == [("left", "purged", at(30.2)), ("pending", "expired", at(7.0))]
+    same = states.ends(got.where("event_id IS NOT NULL"), F.lit(at(61.0)))
+    assert sorted((r.email, r.outcome, r.ts) for r in same.collect()) == told
+    counts = {r.state: r.n for r in states.subscriber_counts(got, F.lit(at(61.0))).collect()}
+    assert counts == {"confirmed": 2, "pending": 0, "unsubscribed": 1}
+
+
+def plain_counts(events, as_of):
+    """The counts by a file of records that is purged whole before every change and before it is read."""
+    records, purged = {}, 0
+
+    def purge(now):
+        nonlocal purged
+        for email, r in list(records.items()):
+            if r["left"] is not None:
+                if now - r["left"] > 30 * DAY:
+                    del records[email]
+                    purged += 1
+            elif r["confirmed"] is None and now - r["sent"] > 7 * DAY:
+                del records[email]
+
+    for email, event, now, _ in sorted(events, key=lambda e: (e[2], e[3])):
+        if now > as_of:
+            break
+        purge(now)
+        r = records.get(email)
+        if event == "subscribe":
+            if r is None or r["left"] is not None:
+                records[email] = {"sent": now, "confirmed": None, "left": None}
+            elif r["confirmed"] is None and now - r["sent"] >= HOUR:
+                r["sent"] = now
+        elif event == "confirm" and r and r["left"] is None and r["confirmed"] is None:
+            r["confirmed"] = now
+        elif event == "unsubscribe" and r and r["left"] is None:
+            r["left"] = now
+    purge(as_of)
+    counts = {"confirmed": 0, "pending": 0, "unsubscribed": purged}
+    for r in records.values():
+        counts["unsubscribed" if r["left"] is not None else "confirmed" if r["confirmed"] is not None else "pending"] += 1
+    return counts
+
+
+def test_counts_as_of_any_day_equal_a_purged_file(spark, one_partition, tmp_path):
+    rng = random.Random(6)
+    events, now = [], float(START)
+    for k in range(400):
+        now += rng.choice([60.0, 4 * HOUR, DAY, 3 * DAY])
+        events.append((f"a{rng.randrange(25)}", rng.choice(["subscribe", "subscribe", "confirm", "unsubscribe", "other"]), now, k))
+    # on the very second of an end a record is still there
+    events += [("edge", "subscribe", START + 0.0, 900), ("edge", "confirm", START + 7.0 * DAY, 901), ("edge", "unsubscribe", START + 8.0 * DAY, 902), ("edge", "subscribe", START + 38.0 * DAY, 903)]
+    schema = "email string, event string, ts double, event_id long"
+    frame = spark.createDataFrame(events, schema)
+    outcomes = states.lifecycles(frame).cache()
+    for as_of in [START - 1.0, START + 7.0 * DAY, START + 45.0 * DAY, now / 2 + START / 2, now, now + 8 * DAY, now + 400 * DAY]:
+        got = {r.state: r.n for r in states.subscriber_counts(outcomes, F.lit(as_of)).collect()}
+        assert got == plain_counts(events, as_of), as_of
+    assert plain_counts(events, now)["unsubscribed"] > 5
+    ordered = sorted(events, key=lambda e: e[2])
+    for part in range(4):
+        spark.createDataFrame(ordered[part * 101 : part * 101 + 101], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("clock", "other", now + 500 * DAY, 999)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("clock", "other", now + 501 * DAY, 1000)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = drain(spark, states.lifecycle_stream(stream), tmp_path / "c2", "ended")
+    told = sorted((r.email, r.outcome, r.ts) for r in live.where("event_id IS NULL").collect())
+    assert told == sorted((r.email, r.outcome, r.ts) for r in states.ends(outcomes, F.lit(now + 400 * DAY)).collect()) and len(told) > 20
+    got = {r.state: r.n for r in states.subscriber_counts(live, F.lit(now)).collect()}
+    assert got == plain_counts(events, now)
 
 
 def test_spend_cap_against_a_replay(spark):
