@@ -61,28 +61,76 @@ def coverage(rows: DataFrame, expected: DataFrame) -> DataFrame:
     return both.select("name", state.alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def overlap_join(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """(left_id, right_id, shared): texts with at least ``least`` distinct words in common, once a pair.
+
+    ``left`` has left_id and words, ``right`` right_id and words (arrays without
+    repeats, ids unique).  Each text's words are put in one order, rarest
+    first; of two texts that share ``least`` words one shared word is not
+    among the last ``least - 1`` of either, so these, a text's most frequent
+    ones, are never joined on.  A pair counts where its first shared word
+    meets; its words are then compared whole.
+    """
+    every = left.select(F.explode("words").alias("word")).unionByName(right.select(F.explode("words").alias("word")))
+    common = every.groupBy("word").agg(F.count("*").alias("f"))
+
+    def indexed(rows: DataFrame, key: str) -> DataFrame:
+        ranked = rows.select(key, F.explode("words").alias("word")).join(common, "word").groupBy(key)
+        ordered = ranked.agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "word"))), lambda w: w["word"]).alias("words"))
+        long_enough = ordered.where(F.size("words") >= least)
+        return long_enough.withColumn("word", F.explode(F.slice("words", 1, F.size("words") - (least - 1))))
+
+    a = indexed(left, "left_id").withColumnRenamed("words", "a")
+    b = indexed(right, "right_id").withColumnRenamed("words", "b")
+    met = a.join(b, "word").withColumn("both", F.array_intersect("a", "b"))
+    return met.where((F.get("both", 0) == F.col("word")) & (F.size("both") >= least)).select("left_id", "right_id", F.size("both").cast("long").alias("shared"))
+
+
+def _cut_words(c: Column | str, letters: int = 1, stop: tuple[str, ...] = ()) -> Column:
+    """Distinct lower-case words between white space, of ``letters`` characters and more."""
+    words = F.split(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), "(?U)\\s+")
+    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= letters) & ~w.isin(*stop) if stop else F.char_length(w) >= letters))
+
+
 def shared_words(left: DataFrame, right: DataFrame, least: int, letters: int = 4, stop: tuple[str, ...] = ()) -> DataFrame:
-    """JON-05..08: (left_id, right_id, shared) with at least ``least`` distinct words of ``letters`` letters in common.
+    """JON-08: (left_id, right_id, shared) with at least ``least`` distinct words of ``letters`` letters in common."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) >= letters) & ~w.isin(*stop)))
+    return overlap_join(left.select("left_id", words("left_text").alias("words")), right.select("right_id", words("right_text").alias("words")), least)
+
+
+def evidence_urls(opportunities: DataFrame, evidence: DataFrame, least: int = 2, letters: int = 4) -> DataFrame:
+    """JON-05: (left_id, url, title, type, evidence_id): evidence for each opportunity, one an url.
 
-    An equi-join on words.  A word whose pairs would explode is still joined
-    key by key; Spark splits a skewed word between tasks.
+    ``opportunities`` have left_id, title and description, ``evidence`` has
+    evidence_id (its order), source_url, title and type.  The title of an item
+    and the opportunity's title or description share ``least`` words of
+    ``letters`` characters; of several items with one url the first that
+    matches is it, items without an url are none.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: (F.length(w) >= letters) & ~w.isin(*stop)))
-    a = left.select("left_id", F.explode(words("left_text")).alias("word"))
-    b = right.select("right_id", F.explode(words("right_text")).alias("word"))
-    return a.join(b, "word").groupBy("left_id", "right_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    left = opportunities.select("left_id", _cut_words(F.concat_ws(" ", "title", "description"), letters).alias("words"))
+    named = evidence.where("source_url <> ''")
+    right = named.select(F.col("evidence_id").alias("right_id"), _cut_words("title", letters).alias("words"))
+    met = overlap_join(left, right, least).select("left_id", F.col("right_id").alias("evidence_id")).join(named, "evidence_id")
+    first = met.groupBy("left_id", F.col("source_url").alias("url")).agg(F.min_by(F.struct("title", "type", "evidence_id"), "evidence_id").alias("e"))
+    return first.select("left_id", "url", "e.title", "e.type", "e.evidence_id")
+
+
+# Words that do not count in titles, and the types of evidence that may match by title.
+TITLE_STOP = ("the", "of", "and", "for", "in", "a", "to")
+MATCHED_TYPES = ("grant_opportunity", "analysis", "recommendation")
 
 
-def case_evidence(cases: DataFrame, evidence: DataFrame, least: int = 2, letters: int = 4, stop: tuple[str, ...] = ()) -> DataFrame:
-    """JON-06: (case_id, evidence_id) of the evidence a case lists, or that shares ``least`` words with its title.
+def case_evidence(cases: DataFrame, evidence: DataFrame, least: int = 2, stop: tuple[str, ...] = TITLE_STOP, types: tuple[str, ...] = MATCHED_TYPES) -> DataFrame:
+    """JON-06: (case_id, evidence_id) of the evidence a case lists, or of one of ``types`` that shares ``least`` title words.
 
     ``cases`` have case_id, title and listed (array of evidence ids),
-    ``evidence`` has evidence_id and text; listed ids without evidence are left out.
+    ``evidence`` has evidence_id, title and type; words are any between white
+    space but ``stop``, listed ids without evidence are left out.
     """
     named = cases.select("case_id", F.explode("listed").alias("evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_semi")
-    left = cases.select(F.col("case_id").alias("left_id"), F.col("title").alias("left_text"))
-    right = evidence.select(F.col("evidence_id").alias("right_id"), F.col("text").alias("right_text"))
-    met = shared_words(left, right, least, letters, stop).select(F.col("left_id").alias("case_id"), F.col("right_id").alias("evidence_id"))
+    left = cases.select(F.col("case_id").alias("left_id"), _cut_words("title", 1, stop).alias("words"))
+    right = evidence.where(F.col("type").isin(*types)).select(F.col("evidence_id").alias("right_id"), _cut_words("title", 1, stop).alias("words"))
+    met = overlap_join(left, right, least).select(F.col("left_id").alias("case_id"), F.col("right_id").alias("evidence_id"))
     return named.select("case_id", "evidence_id").unionByName(met).distinct()
 
 

@@ -133,7 +133,7 @@ def coverage(spark, sf_dir):
 d AS (SELECT doc_id AS right_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF length(x) >= 4])) AS w FROM documents)
 SELECT left_id, right_id, count(*) AS shared FROM i JOIN d USING (w) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def evidence_match(spark, sf_dir):
-    """JON-05, JON-06, JON-08: texts that share two words of four letters or more."""
+    """JON-08: texts that share two words of four letters or more."""
     left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("left_text"))
     right = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
     return resolve.shared_words(left, right, 2)
@@ -149,12 +149,38 @@ def _items_and_documents(spark, sf_dir):
     return left, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
 
 
-@query(f"""WITH {_SHARED} SELECT left_id AS case_id, right_id AS evidence_id FROM m UNION SELECT item_id, doc_id FROM benchmark JOIN documents ON doc_id IN (3 * item_id, 5 * item_id + 1)""")
+_HEADED = r"""h AS (SELECT doc_id, source, lang, regexp_extract(coalesce(text, ''), '^[^.]*') AS title FROM documents),
+hw AS (SELECT doc_id, source, lang, title, [x FOR x IN regexp_split_to_array(lower(title), '\s+') IF x <> ''] AS w FROM h),
+iw AS (SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\s+') IF x <> ''] AS w FROM benchmark)"""
+
+
+def _headed(spark, sf_dir):
+    """Documents as evidence: the first sentence is the title, the source its url, the language tells the type."""
+    kind = F.expr("CASE lang WHEN 'en' THEN 'grant_opportunity' WHEN 'de' THEN 'analysis' WHEN 'fr' THEN 'recommendation' ELSE 'other' END")
+    title = F.regexp_extract(F.coalesce("text", F.lit("")), "^[^.]*", 0)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("source").alias("source_url"), title.alias("title"), kind.alias("type"))
+
+
+@query(f"""WITH {_HEADED}, a AS (SELECT item_id, unnest(list_distinct([x FOR x IN w IF length(x) > 3])) AS x FROM iw), b AS (SELECT doc_id, source, unnest(list_distinct([x FOR x IN w IF length(x) > 3])) AS x FROM hw),
+m AS (SELECT item_id, source, doc_id FROM a JOIN b USING (x) GROUP BY ALL HAVING count(*) >= 2)
+SELECT item_id AS left_id, source AS url, min(doc_id) AS evidence_id FROM m WHERE source <> '' GROUP BY ALL""")
+def evidence_urls(spark, sf_dir):
+    """JON-05: benchmark items against the titles of documents, one document a source."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("title"), F.lit("").alias("description"))
+    return resolve.evidence_urls(items, _headed(spark, sf_dir)).select("left_id", "url", "evidence_id")
+
+
+_STOP = ", ".join(f"'{w}'" for w in resolve.TITLE_STOP)
+
+
+@query(f"""WITH {_HEADED}, a AS (SELECT item_id, unnest(list_distinct([x FOR x IN w IF x NOT IN ({_STOP})])) AS x FROM iw),
+b AS (SELECT doc_id, unnest(list_distinct([x FOR x IN w IF x NOT IN ({_STOP})])) AS x FROM hw WHERE lang IN ('en', 'de', 'fr')),
+m AS (SELECT item_id, doc_id FROM a JOIN b USING (x) GROUP BY ALL HAVING count(*) >= 2)
+SELECT item_id AS case_id, doc_id AS evidence_id FROM m UNION SELECT item_id, doc_id FROM benchmark JOIN documents ON doc_id IN (3 * item_id, 5 * item_id + 1)""")
 def case_evidence(spark, sf_dir):
-    """JON-06: evidence that a case lists, or that shares two words with its title."""
-    left, right = _items_and_documents(spark, sf_dir)
-    cases = left.select(F.col("left_id").alias("case_id"), F.col("left_text").alias("title"), F.expr("array(3 * left_id, 5 * left_id + 1, -1)").alias("listed"))
-    return resolve.case_evidence(cases, right.select(F.col("right_id").alias("evidence_id"), F.col("right_text").alias("text")))
+    """JON-06: evidence that a case lists, or of a type that may match, by two words of both titles."""
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("title"), F.expr("array(3 * item_id, 5 * item_id + 1, -1)").alias("listed"))
+    return resolve.case_evidence(cases, _headed(spark, sf_dir))
 
 
 @query(f"""WITH {_SHARED}, h AS (SELECT item_id AS left_id, array_to_string([x FOR x IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF x <> ''][1:5], '-') AS h FROM benchmark),
