@@ -51,6 +51,28 @@ def status_as_of(state: Column | str, deadline: Column | str, verified_at: Colum
     )
 
 
+def status_spans(state: Column | str, deadline: Column | str, verified_at: Column | str, zone: str) -> Column:
+    """STM-09: the statuses of a row over all days, in order: array of struct(status, since, until).
+
+    ``since`` is the first day, null for the first status; ``until`` the day
+    after the last, null for the last one.  On every day the span that holds
+    it has the status of ``status_as_of``.
+    """
+    state = _c(state)
+    due = strict_date(deadline)
+    seen = local_date(instant(verified_at), zone)
+    never = F.lit(None).cast("date")
+    span = lambda status, since, until: F.struct(F.lit(status).alias("status"), since.alias("since"), until.alias("until"))
+    always = lambda status: F.array(span(status, never, never))
+    change = lambda first, second, day: F.array(span(first, never, day), span(second, day, never))
+    return (
+        F.when(state == "closed", always("closed"))
+        .when((state == "dated") & due.isNotNull(), change("live", "closed", F.date_add(due, 1)))
+        .when(state.isin("rolling-confirmed", "not-stated") & seen.isNotNull(), change("live", "stale", F.date_add(seen, STALE_DAYS + 1)))
+        .otherwise(always("stale"))
+    )
+
+
 def closed_at(deadline: Column | str, zone: str) -> Column:
     """DAT-02: local midnight after the deadline, in UTC; null without a date."""
     return day_start(F.date_add(strict_date(deadline), 1), zone)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import dates, text
 from tessera.operators import filters
 
 #: Facts compared between snapshots.
@@ -177,3 +177,35 @@ def merge_runs(first: DataFrame, second: DataFrame, key: list[str], order: list[
     from tessera.operators.resolve import first_rows
 
     return first_rows(first.unionByName(second), key, order)
+
+
+def _spans(rows: DataFrame, zone: str) -> DataFrame:
+    spans = dates.status_spans("deadline_state", "deadline", "verified_at", zone)
+    return rows.select("id", F.posexplode(spans).alias("k", "s"), spans.alias("all")).select("id", "k", "s.*", "all")
+
+
+def status_flips(rows: DataFrame, first: Column, last: Column, zone: str) -> DataFrame:
+    """STM-09: (id, day, before, after): every change of status on the days from ``first`` to ``last``.
+
+    Read off the spans of each row, however many days are asked for.
+    """
+    flips = _spans(rows, zone).where("k > 0").where(F.col("since").between(first, last))
+    return flips.select("id", F.col("since").alias("day"), F.get("all", F.col("k") - 1)["status"].alias("before"), F.col("status").alias("after"))
+
+
+def status_days(rows: DataFrame, first: Column, last: Column, zone: str) -> DataFrame:
+    """STM-09: (day, status, n) of every day from ``first`` to ``last``, by a sweep over the starts and ends of spans.
+
+    Spans become changes of a count, which are summed by day before the days
+    are swept; a status without rows has a zero.
+    """
+    spans = _spans(rows, zone).select("status", F.greatest(F.coalesce("since", first), first).alias("on"), "until")
+    spans = spans.where(F.col("on") <= last).where(F.col("until").isNull() | (F.col("until") > first))
+    change = lambda day, n: F.struct(day.alias("day"), F.lit(n).cast("long").alias("n"))
+    steps = F.array(change(F.col("on"), 1), change(F.col("until"), -1))
+    changes = spans.select("status", F.explode(steps).alias("c")).select("status", "c.*").where(F.col("day").isNotNull() & (F.col("day") <= last))
+    one = rows.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("day"))
+    grid = one.select("day", F.explode(F.array(F.lit("live"), F.lit("closed"), F.lit("stale"))).alias("status"), F.lit(0).cast("long").alias("n"))
+    daily = changes.unionByName(grid).groupBy("status", "day").agg(F.sum("n").alias("n"))
+    running = F.sum("n").over(Window.partitionBy("status").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return daily.select("day", "status", running.alias("n"))

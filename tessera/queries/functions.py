@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import classify, dates, text
+from tessera.operators import publish
 from tessera.queries import query
 from tessera.session import table
 from tessera.sources.adapters import REGIONS, TODAY, view
@@ -44,6 +45,25 @@ def freshness_flips(spark, sf_dir):
     return rows.select("id", status(today()).alias("before"), status(F.date_add(today(), 1)).alias("after")).where("before <> after")
 
 
+_DAYS = f"""days AS (SELECT unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS day),
+e AS (SELECT id, day, {STATUS_SQL.replace(_ASOF, "(day - 1)")} AS before, {STATUS_SQL.replace(_ASOF, "day")} AS after FROM v_opp, days)"""
+YEAR = ("1998-01-01", "1998-12-31")
+
+
+@query(f"WITH {_DAYS} SELECT * FROM e WHERE before <> after")
+def status_flips(spark, sf_dir):
+    """STM-09: every change of status in a year; the SQL looks at each day."""
+    first, last = (F.lit(d).cast("date") for d in YEAR)
+    return publish.status_flips(view(spark, sf_dir, "v_opp"), first, last, ZONE)
+
+
+@query(f"WITH {_DAYS}, c AS (SELECT day, after AS status, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT day, unnest(['live', 'closed', 'stale']) AS status FROM days) SELECT day, status, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (day, status)")
+def status_days(spark, sf_dir):
+    """STM-09: rows by status on every day of a year."""
+    first, last = (F.lit(d).cast("date") for d in YEAR)
+    return publish.status_days(view(spark, sf_dir, "v_opp"), first, last, ZONE)
+
+
 @query(f"""WITH d AS (SELECT id, deadline_state AS s, try_cast(CASE WHEN deadline LIKE '____-__-__' THEN deadline END AS DATE) AS due FROM v_opp)
 SELECT id, CASE WHEN s = 'closed' THEN 'closed' WHEN s = 'rolling-confirmed' THEN 'rolling-confirmed' WHEN s = 'unresolved' OR due IS NULL THEN 'unknown'
  WHEN due < {_ASOF} THEN 'closed' ELSE 'dated' END AS kind, CASE WHEN s NOT IN ('closed', 'rolling-confirmed', 'unresolved') AND due >= {_ASOF} THEN due - {_ASOF} END AS days FROM d""")

@@ -342,7 +342,7 @@ def sweep_summary(spark, sf_dir):
     return publish.sweep_summary(_changes(spark, sf_dir), _listed(spark, sf_dir), today())
 
 
-@query("""WITH e AS (SELECT title, evidence_id, min(pos) AS at FROM v_opp GROUP BY 1, 2), l AS (SELECT title, list(evidence_id ORDER BY at) AS evidence_ids FROM e GROUP BY 1)
+@query("""WITH e AS (SELECT title, evidence_id, min(pos) AS first_pos FROM v_opp GROUP BY 1, 2), l AS (SELECT title, list(evidence_id ORDER BY first_pos) AS evidence_ids FROM e GROUP BY 1)
 SELECT v.title AS merge_key, min_by(id, pos) AS id, max_by(summary, (length(summary), -pos)) AS summary, any_value(evidence_ids) AS evidence_ids FROM v_opp v JOIN l ON v.title = l.title GROUP BY 1""")
 def first_wins(spark, sf_dir):
     """DED-01."""
