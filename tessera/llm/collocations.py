@@ -1,6 +1,6 @@
 """Phrase collocations per language, mined over sorted occurrence relations (SETM).
 
-The relation of phrases of k words is stored by chunks of a million places: a
+The relation of phrases of k words is stored by chunks of half a million places: a
 row holds the phrases that start at successive places, sorted by piece and
 place, with ``GAP`` where a piece ends or no frequent phrase starts.  Joining
 it with itself on the same piece and the next place, a merge of two sorted
@@ -35,8 +35,8 @@ MAX_WORDS = 4
 ABSORBED = 80
 TOP = 2000
 SCALE = 2_000_000
-#: Places of a chunk, about: a chunk ends with the document that reaches them.
-CHUNK = 1 << 20
+#: Places of a chunk, about (half a million bound a task to some 100 MB): a chunk ends with the document that reaches them.
+CHUNK = 1 << 19
 #: Chunks' worth of places that a task holds, over all languages.
 OPEN_CHUNKS = 4
 #: Bytes of a text that are split into words at a time.
