@@ -198,9 +198,19 @@ def known_funders(*sources: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def title_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks ratio of two normalised titles; not symmetric."""
+    """Matching-blocks ratio of two normalised titles; not symmetric.  Rows in the order of the second are cheaper."""
+    matcher, last = difflib.SequenceMatcher(), None
+
+    def ratio(x: str, y: str) -> float:
+        nonlocal last
+        if y != last:
+            matcher.set_seq2(y)
+            last = y
+        matcher.set_seq1(x)
+        return matcher.ratio()
+
     for a, b in pairs:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+        yield pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def similar_titles(titles: DataFrame, least: float, contained: bool = False) -> DataFrame:
@@ -214,39 +224,45 @@ def similar_titles(titles: DataFrame, least: float, contained: bool = False) ->
     common; the ratio itself runs once for each distinct pair that is left.
     A contained title is met by its rarest run of up to three characters.
     """
-    n = titles.select("block", "title", F.char_length("title").cast("long").alias("n"))
-    chars = F.filter(F.split("title", ""), lambda c: c != "")
-    numbered = F.expr("transform(c, (x, k) -> concat(x, size(filter(slice(c, 1, k + 1), y -> y = x))))")
-    spelt = n.withColumn("c", chars).withColumn("tokens", numbered).drop("c")
-    each = spelt.select("block", "title", F.explode("tokens").alias("token"))
-    common = each.groupBy("block", "token").agg(F.count("*").alias("f"))
-    ranked = each.join(common, ["block", "token"]).groupBy("block", "title").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("ranked"))
+    met = titles.groupBy("block").agg(F.count("*").alias("__n")).where("__n > 1").select("block")
+    n = titles.join(met, "block", "left_semi").select("block", "title", F.char_length("title").cast("long").alias("n"))
+    chars = F.array_distinct(F.filter(F.split("title", ""), lambda c: c != ""))
+    often = lambda c: F.char_length("title") - F.char_length(F.replace(F.col("title"), c, F.lit("")))
+    numbered = F.flatten(F.transform(chars, lambda c: F.transform(F.sequence(F.lit(1), often(c)), lambda k: F.ascii(c) * 65_536 + k)))
+    spelt = written(n.withColumn("tokens", numbered), "spelt")
+    # one row: as many entries as there are characters and numbers of them in a title
+    counted = spelt.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+    rarity = counted.agg(F.map_from_entries(F.collect_list(F.struct("token", "f"))).alias("rarity"))
+    order = F.sort_array(F.transform("tokens", lambda t: F.struct(F.element_at("rarity", t).alias("f"), t.alias("token"))))
     # what must be shared with the shortest possible partner
     needed = F.ceil(F.lit(least) / 2 * (F.col("n") + F.ceil(F.col("n") * F.lit(least / (2 - least)) - 1e-9)) - 1e-9)
-    first = F.slice(F.transform("ranked", lambda r: r["token"]), 1, (F.col("n") - needed + 1).cast("int"))
-    keyed = spelt.join(ranked, ["block", "title"]).select("block", "title", "n", "tokens", F.explode(first).alias("token"))
-    x, y = (keyed.select("block", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("title", "n", "tokens"))) for s in "ab")
-    met = x.join(y, ["block", "token"]).where("title_a < title_b").drop("token")
-    fits = met.where(2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b"))).dropDuplicates(["block", "title_a", "title_b"])
-    fits = fits.where(2 * F.size(F.array_intersect("tokens_a", "tokens_b")) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    first = F.slice(F.transform(order, lambda r: r["token"]), 1, (F.col("n") - needed + 1).cast("int"))
+    prefixed = spelt.crossJoin(F.broadcast(rarity)).select("block", "title", "n", "tokens", first.alias("prefix"))
+    keyed = written(prefixed.withColumn("token", F.explode("prefix")), "prefixes")
+    x, y = (keyed.select("block", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("title", "n", "tokens", "prefix"))) for s in "ab")
+    sized = 2 * F.least("n_a", "n_b") >= least * (F.col("n_a") + F.col("n_b"))
+    alike = 2 * F.size(F.array_intersect("tokens_a", "tokens_b")) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9
+    # a pair counts at the first token that both prefixes have
+    once = F.get(F.array_intersect("prefix_a", "prefix_b"), 0) == F.col("token")
+    fits = x.join(y, ["block", "token"]).where("title_a < title_b").where(sized).where(once).where(alike)
     both = written(fits.select("block", F.col("title_a").alias("a"), F.col("title_b").alias("b")), "titles")
-    pairs = both.select("a", "b").distinct()
-    rated = written(pairs.withColumns({"ab": title_ratio("a", "b"), "ba": title_ratio("b", "a")}), "ratios")
-    judged = both.join(rated, ["a", "b"])
-    found = judged.where(F.col("ab") >= least).select("block", "a", "b").unionByName(
-        judged.where(F.col("ba") >= least).select("block", F.col("b").alias("a"), F.col("a").alias("b"))
-    )
+    directed = both.unionByName(both.select("block", F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = directed.select("a", "b").distinct().repartition("b").sortWithinPartitions("b")
+    near = written(pairs.withColumn("ratio", title_ratio("a", "b")), "ratios").where(F.col("ratio") >= least)
+    found = directed.join(near.select("a", "b"), ["a", "b"]).select("block", "a", "b")
     if not contained:
         return found
     grams = F.expr("array_distinct(transform(sequence(1, greatest(char_length(title) - 2, 1)), k -> substring(title, k, 3)))")
     shorter = F.expr("array_distinct(flatten(transform(sequence(1, greatest(char_length(title), 1)), k -> array(substring(title, k, 1), substring(title, k, 2)))))")
-    own = n.select("block", "title", F.explode(grams).alias("gram"))
+    own = written(spelt.select("block", "title", "n", F.explode(grams).alias("gram")), "runs")
     rare = own.groupBy("block", "gram").agg(F.count("*").alias("f"))
     probe = own.join(rare, ["block", "gram"]).groupBy("block", "title").agg(F.min_by("gram", F.struct("f", "gram")).alias("gram"))
-    inside = probe.select("block", "gram", F.col("title").alias("b"))
+    inside = written(probe.select("block", "gram", F.col("title").alias("b")), "probes")
     # runs of one or two characters are looked up only where a title is as short
     few = inside.where(F.char_length("gram") < 3).select("block").distinct()
-    listed = own.unionByName(n.join(few, "block", "left_semi").select("block", "title", F.explode(shorter).alias("gram"))).distinct()
+    listed = own.where("n > 2").select("block", "title", "gram").unionByName(
+        spelt.join(few, "block", "left_semi").select("block", "title", F.explode(shorter).alias("gram"))
+    )
     nested = inside.join(listed.withColumnRenamed("title", "a"), ["block", "gram"]).where((F.col("a") != F.col("b")) & F.contains("a", F.col("b")))
     turned = nested.select("block", F.col("b").alias("a"), F.col("a").alias("b"))
     return found.unionByName(nested.select("block", "a", "b")).unionByName(turned).distinct()
