@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.license_texts import KNOWN, SPELLINGS
+from tessera.llm.license_texts import DIGESTS, KNOWN, SPELLINGS
 
 #: Known texts up to this many are broadcast; beyond, the digests are joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -55,9 +55,14 @@ def digest_of(text: str) -> str:
     return hashlib.sha256(canonical_text(text).encode()).hexdigest()
 
 
-def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """(license_id, digest) of (license_id, text) pairs."""
-    return spark.createDataFrame([(k, digest_of(re.sub(r"\r\n?", "\n", t))) for k, t in texts], "license_id string, digest string")
+def table_of(texts=KNOWN, digests=DIGESTS) -> list[tuple[str, str]]:
+    """(license_id, digest) of (license_id, text) pairs and of texts known by their digest alone."""
+    return sorted({*((k, digest_of(re.sub(r"\r\n?", "\n", t))) for k, t in texts), *digests})
+
+
+def known_digests(spark: SparkSession, texts=KNOWN, digests=DIGESTS) -> DataFrame:
+    """``table_of`` as a frame (license_id, digest)."""
+    return spark.createDataFrame(table_of(texts, digests), "license_id string, digest string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

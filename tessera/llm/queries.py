@@ -111,7 +111,7 @@ QUERIES = {
     )
 }
 
-_KNOWN = ", ".join(sorted({f"('{k}', '{licenses.digest_of(t)}')" for k, t in licenses.KNOWN}))
+_KNOWN = ", ".join(f"('{k}', '{d}')" for k, d in licenses.table_of())
 _SPELLINGS = ", ".join(f"'{a}': '{b}'" for a, b in licenses.SPELLINGS)
 
 _LEDGER = r"""

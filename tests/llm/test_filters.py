@@ -1,7 +1,10 @@
 """URL filter and license scan on small cases."""
 
+import os
 import random
 
+import pytest
+
 from tessera.llm import licenses, urlfilter
 
 
@@ -54,3 +57,27 @@ def test_licenses_by_canonical_form(spark):
     assert sorted((r.doc_id, r.line_no, r.license_id) for r in got if r.unit == "line") == [(6, 1, "CC-BY-NC-4.0"), (7, 0, "MIT")]
     assert {r.digest for r in got if r.doc_id in (0, 1, 2)} == {licenses.digest_of("")}
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+TEXTS = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(TEXTS), reason="no licence texts on this machine")
+def test_whole_licences_match_by_digest(spark):
+    want, rows = {}, []
+    for k, (name, file) in enumerate([("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]):
+        text = open(f"{TEXTS}/{file}", encoding="utf-8").read()
+        # upper case, other punctuation and a copyright line make no difference; a word more does
+        rows += [(3 * k, text), (3 * k + 1, "Copyright (c) 2024 Somebody\n" + text.upper().replace(",", ";")), (3 * k + 2, text + " once")]
+        want |= {3 * k: name, 3 * k + 1: name, 3 * k + 2: None}
+    rows.append((99, "word " * 400_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs).where("unit = 'document'").collect()}
+    assert got == want | {99: None}
+
+
+def test_odd_urls(spark):
+    long = "http://a.example.net/" + "x/" * 50_000
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://x.net/")], "page_id long, url string")
+    got = urlfilter.judge(pages).collect()
+    assert sorted((r.verdict, len(r.path)) for r in got) == [("block", 1), ("block", 100_001), ("block", 100_001)]
