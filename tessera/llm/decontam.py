@@ -39,11 +39,13 @@ SIZE_RATIO = 1.25
 #: Window start distance in documents for windows of LONG_WINDOW words and more; items are indexed from as many starts.
 STRIDE = 4
 LONG_WINDOW = 16
+#: Windows from so many words on start at every second word.
+MIDDLE_WINDOW = 12
 #: First words of an item that a window of ``SHORT_WINDOW`` words and more starts at.
 STARTS, SHORT_WINDOW = 4, 4
 #: (steps of the walk a table may sample as a share of two per word, coordinates sampled), one row a table and walk.
-TABLES = ((0.22, 3),)
-WALKS = 12
+TABLES = ((0.2, 3),)
+WALKS = 10
 SEED = 7
 #: Items in one block of the benchmark; a task holds one block's index at a time.
 BLOCK_ITEMS = 20_000
@@ -62,7 +64,7 @@ def mix(h: np.ndarray, salt: int) -> np.ndarray:
 
 def stride_of(size: int) -> int:
     """Distance of window starts in documents; windows of few words start at every word."""
-    return STRIDE if size >= LONG_WINDOW else 1
+    return STRIDE if size >= LONG_WINDOW else 2 if size >= MIDDLE_WINDOW else 1
 
 
 def starts_of(size: int) -> int:
@@ -191,6 +193,8 @@ class Index:
         self.distinct = [set(w.tolist()) for _, w in self.items]
         self.length = np.array([len(w) for _, w in self.items], np.int64)
         self.most = np.array([edits_of(n, self.similarity) for n in self.length.tolist()], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *(w for _, w in self.items)])
+        self.first = np.cumsum(self.length) - self.length
         keys: dict[tuple[int, int], list] = {}
         for k, (_, w) in enumerate(self.items):
             size = class_of(len(w))
@@ -212,7 +216,7 @@ class Index:
         for size, table in self.pieces.items():
             keys = grams(words, size)
             yield table, keys, np.arange(len(keys))
-        for stride in (1, STRIDE):
+        for stride in (1, 2, STRIDE):
             sizes = sorted({s for s, _ in self.tables if stride_of(s) == stride})
             if sizes:
                 padded = np.concatenate([words, np.zeros(2 * sizes[-1] + 8, np.uint64)])
@@ -241,6 +245,24 @@ class Index:
                 first = last
         return _distinct(np.concatenate(found))[:, [0, 1, 3]]
 
+    def _possible(self, words: np.ndarray, item: np.ndarray, origin: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """False where more of an item's words, a few evenly spaced ones, are missing near their places than it may have edits."""
+        keep = np.ones(len(item), bool)
+        for most in np.unique(self.most[item]).tolist():
+            group = np.flatnonzero(self.most[item] == most)
+            near = np.arange(-2 * most - 1, 2 * most + 2)
+            for part in np.array_split(group, -(-len(group) * (most + 10) * len(near) // CHECKED)):
+                n = self.length[item[part]]
+                # all of a short item's words, some of a long one's
+                k = np.minimum(np.arange(most + 10) * np.maximum(n, most + 10)[:, None] // (most + 10), n[:, None])
+                real = k < n[:, None]
+                wanted = self.flat[self.first[item[part]][:, None] + np.where(real, k, 0)]
+                at = (origin[part][:, None] + k)[:, :, None] + near
+                inside = (at >= low[part][:, None, None]) & (at < high[part][:, None, None])
+                seen = ((words[np.clip(at, 0, len(words) - 1)] == wanted[:, :, None]) & inside).any(2)
+                keep[part] = (real & ~seen).sum(1) <= most
+        return keep
+
     def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edits, word offset of the stretch's end) for every contaminated pair.
 
@@ -254,6 +276,8 @@ class Index:
         most, length = self.most[rows[:, 1]], self.length[rows[:, 1]]
         low = np.maximum(begin[rows[:, 0]], rows[:, 2] - 2 * most - 1)
         high = np.minimum(bounds[rows[:, 0]], rows[:, 2] + length + 2 * most + 1)
+        keep = self._possible(words, rows[:, 1], rows[:, 2], low, high)
+        rows, most, low, high = rows[keep], most[keep], low[keep], high[keep]
         for doc, k, a, b, least in zip(rows[:, 0].tolist(), rows[:, 1].tolist(), low.tolist(), high.tolist(), most.tolist()):
             if best.get((doc, k), (1, 0))[0] == 0:
                 continue
@@ -284,6 +308,8 @@ def words_of(text: str = "text"):
 _HITS = "doc_id long, item_id long, edits int, item_words int, end_word long"
 SLICE_WORDS = 1_000_000
 SLICE_MATCHES = 2_000_000
+#: Words compared at a time where candidates are sifted.
+CHECKED = 2_000_000
 #: Words of documents held while the blocks of a benchmark of several blocks pass by.
 HELD_WORDS = 16_000_000
 _last: dict[tuple, Index] = {}
