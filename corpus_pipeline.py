@@ -37,11 +37,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group whose five-word shingle sets are 0.8 similar.
 
-    Not by SimHash: at that similarity 64-bit fingerprints differ in about ten
-    bits, which signatures with one bit left out cannot find, so MinHash bands
-    find the candidates and whole shingle sets decide.  The smallest doc_id of
-    a group stays, one without an id only where none has one, of repeated ids
-    the first row.  Null and blank texts are one group, no rows give none.
+    SimHash fingerprints at two bits or fewer find candidates; at that
+    similarity 64-bit fingerprints differ in about ten bits, so MinHash bands
+    find the others, and whole shingle sets decide on both.  The smallest
+    doc_id of a group stays, one without an id only where none has one, of
+    repeated ids the first row.  Null and blank texts are one group, no rows
+    give none.
     """
     return shingles.representatives(docs, SHINGLE_WORDS)
 

@@ -1,11 +1,13 @@
 """Near-duplicates by word shingles: pairs of texts whose shingle sets have a Jaccard similarity of 0.8, groups.
 
-A 64-bit SimHash cannot find these pairs: at similarity 0.8 two fingerprints
-differ in 10 bits on average, and an index that leaves one bit out needs more
-than a thousand signatures a text.  Candidates come from MinHash bands instead: texts that
-agree on all ``ROWS`` minima of one of ``BANDS`` bands meet, which at 0.8
-misses a pair with probability (1 - 0.8 ** ROWS) ** BANDS, 0.0004.  Every
-candidate is verified on the whole shingle sets.
+Candidates come from SimHash first: texts whose 64-bit fingerprints differ in
+at most two bits meet through the index of ``simhash``.  At similarity 0.8
+fingerprints differ in 10 bits on average, so pairs further apart come from
+MinHash bands besides: texts that agree on all ``ROWS`` minima of one of
+``BANDS`` bands meet, which at 0.8 misses a pair with probability
+(1 - 0.8 ** ROWS) ** BANDS, 0.0004.  Every candidate of either kind is
+verified on the whole shingle sets: texts of many repeated lines can have
+equal fingerprints and little else in common.
 
 Texts with equal sets are one node.  In a band that up to ``MAX_PAIRED`` nodes
 share, all pairs are verified.  In larger ones the nodes that meet most others
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import _held, _rows
+from tessera.llm import _held, _rows, simhash
 from tessera.plans.components import connected_components
 from tessera.session import written
 
@@ -43,15 +45,8 @@ _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of a whole text's shingles, words as in ``simhash.fingerprint``.
-
-    A text of fewer words is one shingle; a text without words has none.
-    """
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    found = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], np.uint64))
+    """Sorted distinct hashes of a whole text's shingles, as in ``simhash.shingle_hashes``."""
+    return np.unique(simhash.shingle_hashes(text, words).astype(np.uint64))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -69,24 +64,26 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """(place, doc_id, text_hash, node, size, bands) for every row."""
+    """(place, doc_id, text_hash, fp, node, size, bands) for every row; fp is the SimHash as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _held.take("shingles", lambda: None)
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
+            every = [simhash.shingle_hashes(t.as_py(), words) for t in batch.column("text")]
+            sets = [np.unique(h.astype(np.uint64)) for h in every]
             columns = [
                 batch.column("place"),
                 batch.column("doc_id"),
                 batch.column("text_hash"),
+                pa.array(np.array([simhash.folded(h) for h in every], np.uint64).view(np.int64)),
                 pa.array([node_of(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["place", "doc_id", "text_hash", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["place", "doc_id", "text_hash", "fp", "node", "size", "bands"])
 
     rows = docs.select("place", F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(each, "place long, doc_id long, text_hash long, node long, size long, bands array<long>")
+    return rows.mapInArrow(each, "place long, doc_id long, text_hash long, fp long, node long, size long, bands array<long>")
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
@@ -146,13 +143,30 @@ def _rest(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     return by_band.unionByName(_pairs(shared, shared, "x.node < y.node AND x.root <> y.root")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(a, b) of similar nodes that connect what all similar candidates connect; ``nodes`` as in ``groups``."""
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b, of nodes whose fingerprints (``prints`` has fp and node) are equal or differ in at most two bits.
+
+    Nodes of one fingerprint meet its smallest node, which meets those of the
+    fingerprints that ``simhash.link_edges`` links to it.
+    """
+    first = written(prints.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = prints.select("fp", "node").distinct().join(first, "fp").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    at = (first.select(F.col("fp").alias(e), F.col("first").alias(n)) for e, n in (("a", "x"), ("b", "y")))
+    near = simhash.link_edges(first.select("fp"))
+    for ends, e in zip(at, "ab"):
+        near = near.join(ends, e)
+    met = equal.unionByName(near.select("x", "y")).where("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, words: int, met: DataFrame) -> DataFrame:
+    """(a, b) of similar nodes that connect what all similar candidates connect, those of ``met`` (a, b) and those of the bands of ``nodes``."""
     keys = nodes.select("node", "size", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     multi = written(keys.join(shared, "band"), "bands")
     few, many = multi.where(F.col("n") <= MAX_PAIRED), multi.where(F.col("n") > MAX_PAIRED)
-    chosen = nodes.join(multi.select("node").distinct(), "node").select("node", "text_hash")
+    named = multi.select("node").unionByName(met.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    chosen = nodes.join(named, "node").select("node", "text_hash")
     sets = written(_sets(docs, chosen, words), "shingles")
 
     mass = many.groupBy("node").agg(F.sum("n").alias("mass"))
@@ -160,7 +174,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     order = Window.partitionBy("band").orderBy(F.desc("mass"), F.desc("node"))
     ranked = many.join(mass, "node").withColumn("place", F.row_number().over(order))
     heads = ranked.where(F.col("place") <= HEADS).select("band", "node", "size")
-    first = _pairs(few, few, "x.node < y.node").unionByName(_pairs(many, heads, "true")).distinct()
+    first = met.unionByName(_pairs(few, few, "x.node < y.node")).unionByName(_pairs(many, heads, "true")).distinct()
     linked = written(_verified(first, sets), "links")
 
     roots = connected_components(linked)
@@ -178,7 +192,8 @@ def _rooted(docs: DataFrame, words: int) -> DataFrame:
     prints = written(_prints(docs, words), "prints")
     named = prints.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.max("size").alias("size"), F.max("bands").alias("bands"))
     nodes = written(named, "nodes")
-    roots = connected_components(links(docs, nodes, words))
+    met = written(simhash_pairs(prints), "simhash")
+    roots = connected_components(links(docs, nodes, words, met))
     joined = prints.select("place", "doc_id", "node").join(roots, "node", "left")
     return joined.select("place", "doc_id", F.coalesce("root", "node").alias("root"))
 

@@ -33,23 +33,33 @@ BITS = 2
 MAX_PAIRED = 16
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """SimHash of a whole text; 0 without words.
+def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hash of every occurrence of a whole text's shingles.
 
     A-Z are lower-cased, words are maximal runs without U+0020 and
-    U+0009..U+000D, and every occurrence of a shingle counts.
+    U+0009..U+000D.  A text of fewer words is one shingle; a text without
+    words has none.
     """
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, ">u8")
     shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], ">u8")
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], ">u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes: the bits set in over half of them; 0 without any."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """SimHash of a whole text; 0 without words."""
+    return folded(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
 

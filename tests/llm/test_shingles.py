@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tessera.llm import shingles
+from tessera.llm import shingles, simhash
 
 
 def plain(text, n=5):
@@ -94,3 +94,15 @@ def test_recall_of_bands_at_the_limit():
                 total += 1
                 found += bool(set(shingles.bands(a)) & set(shingles.bands(b)))
     assert total > 400 and found >= 0.998 * total, (found, total)
+
+
+def test_simhash_finds_candidates_and_shingles_decide(spark, monkeypatch):
+    """Without bands that meet, close fingerprints alone link copies with an edit; equal ones of unlike texts link nothing."""
+    monkeypatch.setattr(shingles, "bands", lambda hashes: [])
+    long = " ".join(f"w{k}" for k in range(3000))
+    repeated = ["again " * 2000 + " ".join(f"{x}{k}" for k in range(40)) for x in "xy"]
+    texts = [long, long + " end", long.replace("w1500 ", "v "), *repeated]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert all((prints[0] ^ p).bit_count() <= 2 for p in prints[1:3]) and (prints[3] ^ prints[4]).bit_count() <= 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingles.representatives(docs, 5).collect()) == [0, 3, 4]
