@@ -70,6 +70,28 @@ def test_nearest_is_exact_over_whole_texts(monkeypatch, share):
         assert np.allclose(own, got, atol=2e-6) and ids[k] not in model.ids[at]
 
 
+def test_texts_are_scored_together_and_each_as_alone(monkeypatch):
+    rng = np.random.default_rng(6)
+    # one of "part0" to "part4" is in a fifth of the texts, which was too few for a long list
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 900, 30)) + f" part{k % 5}" + " moron" * (k % 7 == 0) for k in range(400)]
+    model = model_of(texts, [int(k % 7 == 0) for k in range(400)], list(range(400)))
+    model._long()
+    asked = [*texts, None, "", "unheard of", texts[8] * 40]
+    own = [*range(400), None, 8, 9, None]
+    alone = [model.raw(t, k) for t, k in zip(asked, own)]
+    walked, passes, spread, nearest = [], [], toxicity.spread, model.all_nearest
+    monkeypatch.setattr(toxicity, "spread", lambda start, size: walked.extend(size.tolist()) or spread(start, size))
+    monkeypatch.setattr(model, "all_nearest", lambda *a: passes.append(1) or nearest(*a))
+    value, near, cosine = model.scores(asked, own)
+    assert len(passes) == -(-len(asked) // toxicity.TEXTS) and 0 < max(walked) <= max(toxicity.BLOCK, toxicity.LONG_SHARE * 400)
+    monkeypatch.setattr(toxicity, "TEXT_CHARS", 500)
+    again = model.scores(asked, own)
+    for k, one in enumerate(alone):
+        assert value[k] == again[0][k] == one[0]
+        assert near[k].tolist() == again[1][k].tolist() == one[1].tolist() and cosine[k].tolist() == one[2].tolist()
+    assert model.scores([], [])[0].tolist() == []
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rows, rng = [], np.random.default_rng(8)
