@@ -43,7 +43,8 @@ _ARRAYS = (
     ("doc_id", "<i8"), ("has_id", "u1"), ("doc_symbols", "<u4"), ("doc_tokens", "<u4"),
     ("round_rules", "<u4"), ("rule_left", "<u4"), ("rule_right", "<u4"), ("rule_length", "<u4"),
 )
-_SLOTS = 1 << 22
+#: Bits of the table of hashed counts, which should fit a core's cache; results do not depend on it.
+_SLOT_BITS = 20
 
 
 def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,9 +54,9 @@ def _frequent(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarr
     those are sorted, each as one number of pair and place where that fits.
     """
     code = left.astype(np.uint64) << np.uint64(32) | right
-    if len(code) > _SLOTS >> 4:
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int32)
-        at = np.flatnonzero((np.bincount(slot, minlength=_SLOTS) >= least)[slot])
+    if len(code) > 1 << _SLOT_BITS - 4:
+        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
+        at = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)[slot])
     else:
         at = np.arange(len(code))
     if not len(at):

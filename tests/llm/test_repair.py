@@ -83,3 +83,14 @@ def test_symbols_beyond_two_bytes():
     back = repair.load(out.getvalue())
     assert g["symbols"].tolist() == back["symbols"].tolist() and int(g["rule_left"].max()) > 1 << 16
     assert repair.expand_all(back).tolist() == (np.arange(140_000) % 70_000).tolist()
+
+
+@pytest.mark.parametrize("bits", [5, 12])
+def test_the_table_of_counts_decides_nothing(monkeypatch, bits):
+    rng = np.random.default_rng(7)
+    flat = rng.zipf(1.3, 100_000).clip(1, 900).astype(np.uint32)
+    ends = np.unique(np.append(rng.integers(1, 100_000, 40), 100_000))
+    want = repair.compress(flat, ends, 1000)
+    monkeypatch.setattr(repair, "_SLOT_BITS", bits)
+    got = repair.compress(flat, ends, 1000)
+    assert all(np.array_equal(got[k], want[k]) for k in want) and repair.expand_all(got).tolist() == flat.tolist()
