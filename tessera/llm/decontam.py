@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -430,9 +429,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
     """
     blocks = store_items(items, similarity)
 
-    @F.pandas_udf("boolean")
-    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        arrow = (pa.RecordBatch.from_arrays([pa.array(b, pa.list_(pa.int64()))], ["words"]) for b in batches)
+    @F.arrow_udf("boolean")
+    def holds(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        arrow = (pa.RecordBatch.from_arrays([b], ["words"]) for b in lists)
         # a block is opened once for a run of documents
         for run in _runs(arrow, 1 if blocks.count <= 1 else HELD_WORDS):
             held = run.to_batches()
@@ -442,6 +441,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, similarity: float = SIMIL
                 for batch, holding in zip(held, found):
                     for first, hits in _hits(index, batch.column("words")):
                         holding[[first + doc for doc, *_ in hits]] = True
-            yield from map(pd.Series, found)
+            yield from map(pa.array, found)
 
     return docs.where(~holds(words_of()))

@@ -38,6 +38,8 @@ ROWS = 5
 #: Nodes of one band that are paired at once; where more share one, its heads come first.
 MAX_PAIRED = 16
 HEADS = 4
+#: Texts whose shingles a task holds at a time; results do not depend on it.
+TEXTS = 256
 
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -63,12 +65,19 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``TEXTS`` rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(k, TEXTS)
+
+
 def _prints(docs: DataFrame, words: int) -> DataFrame:
     """(place, doc_id, text_hash, fp, node, size, bands) for every row; fp is the SimHash as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _held.take("shingles", lambda: None)
-        for batch in batches:
+        for batch in _few(batches):
             every = [simhash.shingle_hashes(t.as_py(), words) for t in batch.column("text")]
             sets = [np.unique(h.astype(np.uint64)) for h in every]
             columns = [
@@ -90,7 +99,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the ``chosen`` nodes (node, text_hash), one row each."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             sets = [shingles(t.as_py(), words) for t in batch.column("text")]
             columns = [batch.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
@@ -175,6 +184,8 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, met: DataFrame) -> Data
     ranked = many.join(mass, "node").withColumn("place", F.row_number().over(order))
     heads = ranked.where(F.col("place") <= HEADS).select("band", "node", "size")
     first = met.unionByName(_pairs(few, few, "x.node < y.node")).unionByName(_pairs(many, heads, "true")).distinct()
+    # read again below
+    first = written(first, "first")
     linked = written(_verified(first, sets), "links")
 
     roots = connected_components(linked)
@@ -183,7 +194,7 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, met: DataFrame) -> Data
     open_bands = parts.groupBy("band").agg(F.max(F.struct("part", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     grouped = written(grouped.join(open_bands, "band").select("band", "node", "size", "root", F.col("main.root").alias("main")), "open")
     rest = _rest(grouped, sets)
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
     return linked.unionByName(_verified(rest, sets))
 
 

@@ -2,10 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import shingles, simhash
+from tessera.plans import components
+from tessera.session import written
 
 
 def plain(text, n=5):
@@ -106,3 +110,27 @@ def test_simhash_finds_candidates_and_shingles_decide(spark, monkeypatch):
     assert all((prints[0] ^ p).bit_count() <= 2 for p in prints[1:3]) and (prints[3] ^ prints[4]).bit_count() <= 2
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in shingles.representatives(docs, 5).collect()) == [0, 3, 4]
+
+
+def test_candidates_are_found_once(spark, texts, monkeypatch):
+    plans = []
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")))
+        return written(df, label)
+
+    monkeypatch.setattr(shingles, "written", noted)
+    monkeypatch.setattr(components, "written", noted)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert shingles.groups(docs, 5).count() == len(texts)
+    # what a job reads is what its plan costs the driver
+    assert max(n for _, n in plans) <= 10, plans
+
+
+def test_a_task_holds_the_shingles_of_few_texts(spark, texts, monkeypatch):
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "place long, doc_id long, text string").coalesce(1)
+    want = {tuple(r[:6]) for r in shingles._prints(docs.withColumn("text_hash", F.xxhash64("text")), 5).collect()}
+    monkeypatch.setattr(shingles, "TEXTS", 3)
+    assert {tuple(r[:6]) for r in shingles._prints(docs, 5).collect()} == want and len(want) == len(texts)
+    sizes = [b.num_rows for b in shingles._few([pa.RecordBatch.from_pydict({"text": texts[:7]})])]
+    assert sizes == [3, 3, 1]

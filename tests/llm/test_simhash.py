@@ -7,7 +7,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
+from tessera.plans import components
 from tessera.plans.components import connected_components
+from tessera.session import written
 
 
 def plain_fingerprint(text, n=3):
@@ -95,3 +97,22 @@ def test_near_duplicates_against_brute_force(spark):
 def test_hashes_are_sparks(spark):
     row = spark.createDataFrame([("naïve 日本 words that are longer than thirty-two bytes",)], "s string").select(F.xxhash64("s")).first()
     assert row[0] % (1 << 64) == xxhash.xxh64("naïve 日本 words that are longer than thirty-two bytes".encode(), seed=42).intdigest()
+
+
+def test_components_settle_without_a_round_to_see_it(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(components, "written", lambda df, label: stored.append(label) or written(df, label))
+    stars = spark.createDataFrame([(9, 1), (8, 1), (7, 2), (7, 2), (3, 3)], "a long, b long")
+    assert {tuple(r) for r in connected_components(stars).collect()} == {(9, 1), (8, 1), (1, 1), (7, 2), (2, 2)}
+    assert len(stored) == 1
+    chain = spark.createDataFrame([(1, 2), (2, 3), (4, 3)], "a long, b long")
+    assert {tuple(r) for r in connected_components(chain).collect()} == {(k, 1) for k in (1, 2, 3, 4)}
+    assert len(stored) > 2
+
+
+def test_a_star_step_reads_its_edges_twice(spark, tmp_path):
+    spark.createDataFrame([(2, 1), (3, 2)], "u long, v long").write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.parquet(str(tmp_path / "edges"))
+    step = components._star(components._star(edges, True), False)
+    assert {tuple(r) for r in step.collect()} == {(2, 1), (3, 1)}
+    assert step._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 4

@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -168,3 +169,15 @@ def test_held_out_recall_in_every_language(spark):
             assert sum(predicted) <= 0.1 * len(predicted), lang
     clean = [p for (_, toxic), ps in by.items() if not toxic for p in ps]
     assert sum(clean) <= 0.02 * len(clean)
+
+
+def test_the_index_is_made_in_little_memory():
+    rng = np.random.default_rng(3)
+    term = np.sort(rng.integers(0, 1 << 12, (400, 1000)).astype(np.uint64), 1).ravel()
+    doc, tf = np.repeat(np.arange(400, dtype=np.int32), 1000), rng.integers(1, 5, 400_000).astype(np.int32)
+    tracemalloc.start()
+    model = toxicity.Model(np.arange(400), (np.arange(400) % 7 == 0).astype(float), doc, term, tf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # bytes a posting beside those handed over
+    assert len(model.post_doc) == len(term) and peak < 40 * len(term), peak
