@@ -41,18 +41,24 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def _unless_ascii(c: Column | str, other: Column) -> Column:
+    """``other`` where a text has a character beyond ASCII, which alone it changes, else the text: letters need not be looked up one by one."""
+    whole = _text(c)
+    return F.when(F.octet_length(whole) == F.char_length(whole), whole).otherwise(other)
+
+
 def transliterate(c: Column | str) -> Column:
     """STR-01: Cyrillic letters to lower-case Latin, all other text untouched; null gives empty."""
     both = [(x, y) for pairs in (CYRILLIC,) for a, b in pairs for x, y in ((a, b), (a.upper(), b))]
     out = F.translate(_text(c), "".join(a for a, _ in both), "".join(b for _, b in both))
     many = [(x, b) for a, b in CYRILLIC_LONG for x in (a, a.upper())]
     long = reduce(lambda acc, ab: F.replace(acc, F.lit(ab[0]), F.lit(ab[1])), many, out)
-    return F.when(F.rlike(out, F.lit("[\\u0400-\\u04FF]")), long).otherwise(out)
+    return _unless_ascii(c, F.when(F.rlike(out, F.lit("[\\u0400-\\u04FF]")), long).otherwise(out))
 
 
 def unaccent(c: Column | str) -> Column:
     """Accented Latin letters to their base letters, combining marks dropped."""
-    return F.regexp_replace(F.translate(_text(c), ACCENTED, UNACCENTED), _MARKS, "")
+    return _unless_ascii(c, F.regexp_replace(F.translate(_text(c), ACCENTED, UNACCENTED), _MARKS, ""))
 
 
 def to_ascii(c: Column | str) -> Column:

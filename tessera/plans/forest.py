@@ -47,15 +47,19 @@ def constrained_groups(nodes: DataFrame, links: DataFrame, order: list[str], max
     join along these, and links inside a group or between two held groups are
     dropped.  Each round at least halves the open groups.
 
-    Links may repeat; nulls and links from a node to itself are left out.  A
+    Links that tell held_i and held_j are taken at their word, others meet the
+    nodes.  They may repeat; nulls and links from a node to itself are left out.  A
     node without links is its own group.  Groups and links are rows throughout,
     so a group may be of any size.
     """
     held = nodes.select("node", F.coalesce("held", F.lit(False)).alias("held"))
     rank: Column = F.struct(*order, "i", "j")
-    edges = links.where("i IS NOT NULL AND j IS NOT NULL AND i <> j").select(rank.alias("rank"), F.col("i").alias("a"), F.col("j").alias("b"))
-    for end in ("a", "b"):
-        edges = edges.join(held.select(F.col("node").alias(end), F.col("held").alias(f"held_{end}")), end)
+    known = {"held_i", "held_j"} <= set(links.columns)
+    told = [F.coalesce(f"held_{x}", F.lit(False)).alias(f"held_{y}") for x, y in ("ia", "jb")] if known else []
+    edges = links.where("i IS NOT NULL AND j IS NOT NULL AND i <> j").select(rank.alias("rank"), F.col("i").alias("a"), F.col("j").alias("b"), *told)
+    if not known:
+        for end in ("a", "b"):
+            edges = edges.join(held.select(F.col("node").alias(end), F.col("held").alias(f"held_{end}")), end)
     edges = written(edges.where("NOT (held_a AND held_b)"), "links")
     steps = []
     for _ in range(max_rounds):
