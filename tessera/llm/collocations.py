@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import written
+from tessera.session import LARGE_ROWS, arrow_batches, written
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -41,6 +41,8 @@ CHUNK = 1 << 19
 OPEN_CHUNKS = 4
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
+#: Bytes of an Arrow batch that a worker is handed (a row is a text or a chunk of some megabytes), and counts that it sends at a time.
+BATCH_BYTES, SENT = 4 << 20, 1 << 16
 #: Bits of a sieve for each group, and at most (2 to the power); beyond that it lets more groups pass.
 SIEVE_BITS, MAX_SIEVE = 16, 27
 GAP = -1
@@ -221,9 +223,8 @@ def adjacent(groups: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([groups[key // size], groups[key % size][:, -1:]], axis=1), n, places
 
 
-def narrowed(words: DataFrame, kept: Sieve) -> DataFrame:
+def narrowed(words: DataFrame, shared: Broadcast[Sieve]) -> DataFrame:
     """The relation of the words that pass."""
-    shared = words.sparkSession.sparkContext.broadcast(kept)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups, codes in _arrays(batches, 1):
@@ -239,14 +240,15 @@ def joined(relation: DataFrame, k: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups, codes in _arrays(batches, k):
             longer, n, _ = adjacent(groups, codes)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in longer.T), pa.array(n.astype(np.int64))], [*names, "n"])
+            for at in range(0, len(n), SENT):
+                columns = [*longer[at : at + SENT].T, n[at : at + SENT].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "n"])
 
     return relation.mapInArrow(each, ", ".join(f"{c} long" for c in (*names, "n")))
 
 
-def extended(relation: DataFrame, k: int, kept: Sieve) -> DataFrame:
+def extended(relation: DataFrame, k: int, shared: Broadcast[Sieve]) -> DataFrame:
     """The relation of k + 1 words: neighbours joined, narrowed to those that pass."""
-    shared = relation.sparkSession.sparkContext.broadcast(kept)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for groups, codes in _arrays(batches, k):
@@ -259,7 +261,7 @@ def extended(relation: DataFrame, k: int, kept: Sieve) -> DataFrame:
 def _counted_words(docs: DataFrame, min_count: int, chunk: int, seeds: range, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(occurrences, frequent words as lang, phrase, w1, f), with ids under which no frequent word meets another word."""
     for seed in seeds:
-        stored = written(occurrences(docs, chunk, seed, bits), "occurrences")
+        stored = written(occurrences(docs, chunk, seed, bits), "occurrences", LARGE_ROWS)
         each = stored.select("lang", F.explode(F.arrays_zip("words", "ids", "counts")).alias("w"))
         counted = written(
             each.groupBy("lang", F.col("w.words").alias("phrase"), F.col("w.ids").alias("w1")).agg(F.sum("w.counts").alias("f")), "words"
@@ -286,8 +288,9 @@ def phrases(
     level = frequent.select(F.array("w1").alias("words"), "lang", "phrase", F.col("phrase").alias("last"), "f", own.alias("head"), own.alias("tail"))
     levels, relation = [level], None
     for k in range(1, max_words):
-        kept = sieve(frequent, k)
-        relation = written(narrowed(stored, kept) if k == 1 else extended(relation, k - 1, kept), "relation")
+        shared = docs.sparkSession.sparkContext.broadcast(sieve(frequent, k))
+        relation = written(narrowed(stored, shared) if k == 1 else extended(relation, k - 1, shared), "relation", LARGE_ROWS)
+        shared.destroy()
         names = [f"w{i}" for i in range(1, k + 2)]
         counted = joined(relation, k).groupBy(*names).agg(F.sum("n").alias("f"))
         frequent = written(counted.where(F.col("f") >= min_count), "groups")
@@ -346,7 +349,8 @@ def mine(
     read whole, in slices of bounded size.  Phrases with equal score and count
     are ordered by their bytes.  ``top`` is the length of the report.
     """
-    sizes, levels = phrases(docs, min_count, max_words, chunk, seeds)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        sizes, levels = phrases(docs, min_count, max_words, chunk, seeds)
     candidates = None
     for k in range(2, max_words + 1):
         longer = levels[k] if k < max_words else None

@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import collocations
+from tessera.session import BATCH_BYTES, arrow_batches
 
 
 def plain(rows, min_count, top, absorbed=80):
@@ -108,3 +110,22 @@ def test_a_task_holds_a_bounded_number_of_open_languages(spark):
     rows = [(f"l{k}", "a b c " * 20) for k in range(50)]
     frame = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
     assert collocations.occurrences(frame, 100).selectExpr("sum(aggregate(counts, 0L, (x, y) -> x + y)) AS n").first().n == 3000
+
+
+def test_workers_are_handed_batches_of_bounded_size(spark, monkeypatch):
+    """A batch of a whole partition, of up to 10,000 texts or chunks, is what an executor's memory would have to hold besides its heap."""
+    limits, written = [], collocations.written
+
+    def seen(df, label, *options):
+        limits.append(int(spark.conf.get(BATCH_BYTES)))
+        return written(df, label, *options)
+
+    was = spark.conf.get(BATCH_BYTES, None)
+    monkeypatch.setattr(collocations, "written", seen)
+    rows = spark.createDataFrame([("en", "a b c d " * 40)] * 30, "lang string, text string")
+    got = collocations.mine(rows, min_count=2, chunk=50)
+    assert len(limits) >= 8 and max(limits) <= collocations.BATCH_BYTES
+    assert spark.conf.get(BATCH_BYTES, None) == was and got.count()
+    with arrow_batches(spark, 10_000):
+        sizes = spark.range(0, 100, 1, 1).selectExpr("repeat('x', 5000) AS t").mapInArrow(lambda it: (b.select([]).append_column("n", pa.array([b.num_rows] * b.num_rows)) for b in it), "n long")
+        assert sizes.agg({"n": "max"}).first()[0] <= 3
